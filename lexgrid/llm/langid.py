@@ -2,7 +2,7 @@
 
 Each language has zstandard raw-content dictionaries made of its texts. A text is compressed in blocks with the
 dictionaries of every language; the smallest total wins. Short texts, whose sizes tie easily, are also compressed
-with the quarters of each dictionary. A narrow margin between the two smallest totals is a rejection.
+with the quarters of each dictionary. Letters are folded to lower case first. A narrow margin between the two smallest totals is a rejection.
 
 The fit reads a bounded sample: about `SAMPLE_DOCS` texts a language, `SAMPLE_CHARS` characters of each, at most
 `DICT_BYTES` in a dictionary. Prediction covers whole texts.
@@ -30,6 +30,7 @@ BLOCK_BYTES = 8192
 SHORT_BYTES = 400
 #: A rejection: the second smallest total is not larger than the smallest by this share of it.
 NARROW = 0.002
+SHORT_LEVEL, WHOLE_LEVEL = 12, 6
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -37,7 +38,8 @@ LETTER = regex.compile(r"\p{L}")
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Language to dictionary, from the columns doc_id, text, lang. To the driver come about 2 * sample_docs texts a language at most."""
     rows = labelled.filter("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    rates = [F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * sample_docs / r["count"]))) for r in rows.groupBy("lang").count().collect()]
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rates = [F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * sample_docs / n))) for k, n in counts.items()]
     if not rates:
         return {}
     # a place from 0 to 1 that depends on the row's id alone
@@ -45,23 +47,24 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
     picked = rows.withColumn("place", place).filter(F.col("place") < F.coalesce(*rates)).selectExpr("lang", "place", "doc_id", f"substring(text, 1, {sample_chars}) as text").collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0, r["text"])):
-        out.setdefault(r["lang"], []).append(r["text"].encode("utf-8"))
-    dicts = {lang: b"\n".join(texts[:sample_docs]) for lang, texts in out.items()}
+        out.setdefault(r["lang"], []).append(Model.folded(r["text"]))
+    dicts = {lang: b"".join(texts[:sample_docs]) for lang, texts in out.items()}
     # of one size as far as the texts go, so that no language gains by having more
     size = min(dict_bytes, max(map(len, dicts.values())))
-    return {lang: content[:size] for lang, content in dicts.items() if len(content) >= 8}
+    # the most frequent language first: it wins ties
+    return {lang: dicts[lang][:size] for lang in sorted(dicts, key=lambda x: (-counts[x], x)) if len(dicts[lang]) >= 8}
 
 
 class Model:
     """Compressors of every language; made once in a task."""
 
     def __init__(self, dicts: dict[str, bytes]) -> None:
-        self.langs = sorted(dicts)
-        self.whole = [self.compressors([dicts[x]], 3) for x in self.langs]
+        self.langs = list(dicts)
+        self.whole = [self.compressors([dicts[x]], WHOLE_LEVEL) for x in self.langs]
         self.parts = []
         for x in self.langs:
             step = max(64, -(-len(dicts[x]) // 4))
-            self.parts.append(self.compressors([dicts[x]] + [dicts[x][i : i + step] for i in range(0, len(dicts[x]), step)], 12))
+            self.parts.append(self.compressors([dicts[x]] + [dicts[x][i : i + step] for i in range(0, len(dicts[x]), step)], SHORT_LEVEL))
 
     @staticmethod
     def compressors(contents: list[bytes], level: int) -> list:
@@ -73,6 +76,11 @@ class Model:
                 out.append(zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         return out
 
+    @staticmethod
+    def folded(text: str) -> bytes:
+        """Lower case between blanks, as words stand in the dictionaries."""
+        return f" {text.lower()} ".encode()
+
     def sizes(self, data: bytes) -> list[float]:
         if len(data) <= SHORT_BYTES:
             return [sum(len(c(data)) for c in cs) / len(cs) for cs in self.parts]
@@ -83,7 +91,7 @@ class Model:
         """(language, score from 0 to 1, margin, rejected)."""
         if not self.langs or text is None or not LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0, True
-        sizes = self.sizes(text.encode("utf-8"))
+        sizes = self.sizes(self.folded(text))
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = sizes[order[0]]
         margin = (sizes[order[1]] - best) / sizes[order[1]] if len(order) > 1 else 1.0

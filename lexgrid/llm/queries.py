@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import bpe, langid, packing, quality
+from lexgrid.llm import bpe, langid, packing, quality, topk, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def remainder(column: str, divisor: int) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+def op1_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op2_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -28,11 +33,28 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+#: Host, path, action.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), rules_table(spark))
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+    return spark.sql(f"select * from values {rows} as t(host, path, action)")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trees = quality.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
@@ -40,5 +62,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op3_language, op5_bpe_roundtrip, op9_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_topk_threshold, op2_pack_best_fit, op3_language, op4_near_vectors, op5_bpe_roundtrip, op7_url_cascade, op9_quality)}
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+OP7_SQL = f"""
+WITH rules(h, p, a) AS (VALUES {_RULES}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+k AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, row_number() OVER () AS n FROM s),
+f AS (SELECT n, h || p AS rule, a, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS best
+      FROM k JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict
+FROM k LEFT JOIN (SELECT * FROM f WHERE best = 1) USING (n)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_topk_threshold": OP1_SQL, "op7_url_cascade": OP7_SQL}
