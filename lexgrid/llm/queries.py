@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import bpe, langid, packing, quality, topk, urls, vectors
+from lexgrid.llm import bpe, langid, packing, quality, substrings, suffixes, topk, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -55,6 +60,12 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t(host, path, action)")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trees = quality.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
@@ -62,7 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_threshold, op2_pack_best_fit, op3_language, op4_near_vectors, op5_bpe_roundtrip, op7_url_cascade, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_topk_threshold, op2_pack_best_fit, op3_language, op4_near_vectors, op5_bpe_roundtrip, op6_suffix_dedup, op7_url_cascade, op8_substring_dedup, op9_quality)}
 
 OP1_SQL = """
 WITH v AS (
@@ -92,4 +103,16 @@ SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict
 FROM k LEFT JOIN (SELECT * FROM f WHERE best = 1) USING (n)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_threshold": OP1_SQL, "op7_url_cascade": OP7_SQL}
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS n FROM documents),
+s AS (SELECT n, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT n, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT n, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT n, i + j AS i FROM r, range(0, 35) t(j)),
+kept AS (
+  SELECT n, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS c
+  FROM (SELECT n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) ANTI JOIN gone USING (n, i) GROUP BY n)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (n)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op1_topk_threshold": OP1_SQL, "op7_url_cascade": OP7_SQL}
