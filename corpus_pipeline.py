@@ -1,13 +1,15 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and the rows that the stage before it kept.
 
-Two stages so far: documents that the quality classifier or the language identification rejects go.
+Quality and language filters drop documents, near-dedup keeps one document of each group (five-word shingles,
+similarity 0.8), substring dedup removes repeated runs of 35 words, and packing places what is left in sequences of
+2048 ids. All stages but the last return the columns of documents. Models are fitted on the stage's own input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexgrid.llm import langid, quality
+from lexgrid.llm import langid, minhash, packing, quality, substrings
 from lexgrid.runtime import materialise
 
 
@@ -21,8 +23,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.keep_identified(docs, langid.fit(docs))
 
 
-STAGES = [("quality", quality_stage), ("language", language_stage)]
-#: The stages are models, which SQL cannot express.
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    return minhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages; a text that loses words keeps the others joined by one blank."""
+    return substrings.drop_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document: its sequence and its place there."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
+#: Two stages are models that are fitted here, and ids come from a tokenizer; SQL cannot express them.
 ORACLE_SQL = None
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import bpe, langid, packing, quality, substrings, suffixes, topk, urls, vectors
+from lexgrid.llm import bpe, langid, minhash, packing, quality, substrings, suffixes, topk, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +75,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_threshold, op2_pack_best_fit, op3_language, op4_near_vectors, op5_bpe_roundtrip, op6_suffix_dedup, op7_url_cascade, op8_substring_dedup, op9_quality)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), shingle=3, threshold=Fraction(85, 100))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_threshold, op2_pack_best_fit, op3_language, op4_near_vectors, op5_bpe_roundtrip, op6_suffix_dedup, op7_url_cascade, op8_substring_dedup, op9_quality, op10_minhash)}
 
 OP1_SQL = """
 WITH v AS (
@@ -115,4 +121,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(c, 0)
 FROM w LEFT JOIN kept USING (n)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op1_topk_threshold": OP1_SQL, "op7_url_cascade": OP7_SQL}
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, least(a, min(b)) AS component FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10_SQL, "op8_substring_dedup": OP8_SQL, "op1_topk_threshold": OP1_SQL, "op7_url_cascade": OP7_SQL}
