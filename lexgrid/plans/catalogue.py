@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgrid.functions import dates, strings
+from lexgrid.functions import dates, markup, passages, strings, wikitext
 from lexgrid.operators import catalog, changelog, fusion, reading, redirects, search
 from lexgrid.plans import carriers as C
-from lexgrid.plans.carriers import P, REC, bm25, plain, records, table, tok
+from lexgrid.plans.carriers import REC, bm25, plain, records, table, tok
+from lexgrid.runtime import ship
+from lexgrid.streaming import changelog as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -490,12 +492,12 @@ def link_resolution(spark, sf_dir):
     return links.join(known, "path", "left").select("page_id", "path", "n", "target_id")
 
 
-@query(f"""WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS src, regexp_extract({_HREFS}, '^[a-z]+://([^/?#]*)', 1) AS dst FROM pages)
-SELECT src, dst, 'links_to' AS type, count(*) AS n FROM l WHERE dst <> '' AND src <> dst GROUP BY src, dst""")
+@query(f"""WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS src, {_HREFS} AS dst FROM pages)
+SELECT src, dst, 'links_to' AS type, count(*) AS n FROM l WHERE dst <> '' GROUP BY src, dst""")
 def relationship_edges(spark, sf_dir):
-    host = lambda c: F.regexp_extract(c, "^[a-z]+://([^/?#]*)", 1)
-    links = table(spark, sf_dir, "pages").select(host("url").alias("src"), F.explode(reading.hrefs(F.col("html"))).alias("href")).select("src", host("href").alias("dst"))
-    return links.filter("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")).select("src", "dst", F.lit("links_to").alias("type"), "n")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("src")
+    links = table(spark, sf_dir, "pages").select(host, F.explode(reading.hrefs(F.col("html"))).alias("dst")).filter("dst <> ''")
+    return links.groupBy("src", "dst").agg(F.count("*").alias("n")).select("src", "dst", F.lit("links_to").alias("type"), "n")
 
 
 # reading
@@ -724,3 +726,48 @@ def rfc_dates(spark, sf_dir):
 def rfc_refs(spark, sf_dir):
     raw = F.concat(F.lit("rfc"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))
     return table(spark, sf_dir, "orders").select("o_orderkey", strings.document_ref(raw).alias("ref"))
+
+
+# transforms that SQL cannot express; tests hold them against literal results
+
+
+@query(None)
+def html_markdown(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", markup.markdown_udf("html").alias("markdown"))
+
+
+@query(None)
+def html_plain(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", markup.text_udf("html").alias("text"))
+
+
+@query(None)
+def wiki_plain_text(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", wikitext.plain_text_udf(wikitext_of("text")).alias("text"))
+
+
+@query(None)
+def wiki_markdown(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", wikitext.markdown_udf(wikitext_of("text"), F.lit("https://wiki.test")).alias("markdown"))
+
+
+def wikitext_of(text: str) -> F.Column:
+    """A text dressed as a wiki page: its first line as a heading, source and language as links and a template."""
+    head = F.substring_index(text, "\n", 1)
+    return F.concat(F.lit("== "), head, F.lit(" ==\n"), F.substring(text, F.length(head) + 2, F.length(text)), F.lit("\n[[Category:"), F.col("source"), F.lit("]] [["), F.col("lang"), F.lit("|language]] {{convert|1|km}}<ref>"), F.col("source"), F.lit("</ref>"))
+
+
+@query(None)
+def snippet_window(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", passages.snippet_udf("text", F.lit(QUERY), F.lit(220)).alias("snippet"))
+
+
+@query(ORACLE_SQL["changelog_compact"])
+def stream_changelog(spark, sf_dir):
+    """The compaction as a stream over the event file, drained to its end."""
+    return streamed.compacted_stream(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], "event_type = 'error'").select("user_id", "event_id", "ts", "event_type", "value")
