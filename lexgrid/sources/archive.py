@@ -134,7 +134,7 @@ class ArchiveSource(DataSource):
         return "archive"
 
     def schema(self):
-        return StructType.fromDDL(schemas.ARCHIVE_ENTRY)
+        return schemas.ARCHIVE_ENTRY
 
     def reader(self, schema):
         return ArchiveReader(schema, self.options)

@@ -107,7 +107,7 @@ class CitationSource(DataSource):
         return "citations"
 
     def schema(self):
-        return StructType.fromDDL(schemas.CITATION)
+        return schemas.CITATION
 
     def reader(self, schema):
         return CitationReader(schema, self.options["paths"].split("\n"))
