@@ -483,13 +483,13 @@ _TARGET = "regexp_extract(href, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1)"
 
 @query(f"""WITH l AS (SELECT page_id, {_HREFS} AS href FROM pages), p AS (SELECT min(page_id) AS target_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages GROUP BY path),
 k AS (SELECT page_id, {_TARGET} AS path, count(*) AS n FROM l WHERE {_TARGET} <> '' GROUP BY 1, 2)
-SELECT page_id, path, n, target_id FROM k LEFT JOIN p USING (path)""")
+SELECT page_id, path, n, coalesce(target_id, -1) AS target_id FROM k LEFT JOIN p USING (path)""")
 def link_resolution(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     path = F.regexp_extract("href", "^(?:[a-z]+://[^/?#]*)?([^?#]*)", 1).alias("path")
     links = pages.select("page_id", F.explode(reading.hrefs(F.col("html"))).alias("href")).select("page_id", path).filter("path <> ''").groupBy("page_id", "path").agg(F.count("*").alias("n"))
     known = pages.groupBy(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path")).agg(F.min("page_id").alias("target_id"))
-    return links.join(known, "path", "left").select("page_id", "path", "n", "target_id")
+    return links.join(known, "path", "left").select("page_id", "path", "n", F.coalesce("target_id", F.lit(-1)).alias("target_id"))
 
 
 @query(f"""WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS src, {_HREFS} AS dst FROM pages)
