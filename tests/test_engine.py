@@ -180,3 +180,18 @@ def test_registry(tmp_path):
         assert Registry([Shelf("a", [row | bad])]).discover()[1]
     with pytest.raises(ValueError):
         Registry([Shelf("a", [], ("x",)), Shelf("b", [], ("x",))]).owner("x")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lexgrid import cli
+
+    Engine(spark, str(tmp_path)).install(records(spark, [("a", "Alpha", "first words")], "d"), "test", "d", "1")
+    said = lambda *x: (cli.main([str(tmp_path), *x]), json.loads(capsys.readouterr().out or "null"))
+    assert said("search", "words")[1]["hits"][0]["id"] == "a"
+    code, document = said("read", "d:a")
+    assert code == 0 and document["content"] == "first words"
+    assert said("read", document["ref"])[1]["title"] == "Alpha"
+    assert said("read", "r_000000")[0] == 1
+    assert said("jobs")[1][0]["state"] == "completed" and said("list")[1][0]["dataset"] == "d"
