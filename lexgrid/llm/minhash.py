@@ -7,8 +7,8 @@ shingles make no lists unless they are nearly all a text has. The smallest k val
 estimate the similarity, and candidates near or above the threshold are confirmed on their full sets.
 
 Lists are not turned into all their pairs. First each list's most central member (fewest values of its own) meets all
-others. Components of the links found are formed. Only members of one list that are still in different components are
-then compared with each other, so no link between components is missed. Up to `k * threshold` shingles prefixes are
+others. Components of the links found are formed. Only where members of one list are still in different components are
+they then compared with each other, on full sets, so no link between components is missed. Up to `k * threshold` shingles prefixes are
 exact; beyond, a pair at the threshold shares too few retained values with a probability below 1e-6.
 
 Edge cases: with fewer words than a shingle the whole sequence is the only one. A null or blank text has an empty
@@ -38,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = Fraction(8, 10)
 #: Most bits of the filter that keeps other texts out of the shuffle before exact checks.
 MOST_BITS = 1 << 24
+#: Members of a bundle that are compared in one task, for each side.
+BLOCK = 2048
 _SALTS = mix((np.arange(64).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -107,11 +109,9 @@ def prefixes(classes: DataFrame, scheme: Scheme) -> DataFrame:
     return met.filter(length > 0).select("rep", "n", (held - F.size("met")).alias("own"), F.slice(F.col("met.value"), F.lit(1), length.cast("int")).alias("prefix"))
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b of representatives) whose full sets are similar enough."""
-    part, whole = scheme.threshold.numerator, scheme.threshold.denominator
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(classes.select("rep", "set_key"), "rep")
-    ids = materialise(ids, "to-confirm")
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, scheme: Scheme) -> DataFrame:
+    """rep and text of the classes in ids (column rep). A Bloom filter of bounded size keeps most other texts out of the shuffle."""
+    ids = materialise(ids.distinct().join(classes.select("rep", "set_key"), "rep"), "wanted")
     bits = 64 * max(1, min(MOST_BITS, 10 * ids.count()) // 64)
     places = [F.pmod(F.xxhash64(F.lit(i), F.col("rep")), F.lit(bits)) for i in range(4)]
     found = ids.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
@@ -128,7 +128,12 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Sch
 
     likely = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").select("rep", "text", *(p.alias(f"p{i}") for i, p in enumerate(places)))
     texts = likely.mapInArrow(sift, "rep long, set_key string, text string").join(ids, ["rep", "set_key"]).dropDuplicates(["rep"]).select("rep", "text")
-    texts = materialise(texts, "texts-to-confirm")
+    return materialise(texts, "texts")
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b of representatives) whose full sets are similar enough."""
+    part, whole = scheme.threshold.numerator, scheme.threshold.denominator
     both = pairs.join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
 
     def check(rows):
@@ -144,41 +149,82 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Sch
     return map_rows(both.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
 
+def crossing(members: list[tuple], scheme: Scheme) -> list[tuple[int, int]]:
+    """Links between members (rep, component, side, text) of different components and, if both sides occur, of different sides.
+
+    Only members outside the largest component ask; one pass over the others' shingles gives all overlaps of an asker.
+    Components that get a link become one, so each needs no second."""
+    part, whole = scheme.threshold.numerator, scheme.threshold.denominator
+    names, label = np.unique([m[1] for m in members], return_inverse=True)
+    if len(names) < 2:
+        return []
+    sets = [shingles(m[3], scheme.shingle) for m in members]
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    sides = np.array([m[2] for m in members])
+    two = sides.min() != sides.max()
+    mark, out = np.zeros(flat.max() + 1, bool), []
+    for q in np.flatnonzero(label != np.bincount(label).argmax()):
+        others = label != label[q]
+        if two:
+            others &= sides != sides[q]
+        if not others.any():
+            continue
+        mine = flat[begin[q] : begin[q + 1]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[flat].astype(np.int64), begin[:-1])
+        mark[mine] = False
+        for x in np.flatnonzero(others & (whole * shared >= part * (sizes + sizes[q] - shared))):
+            if label[x] != label[q]:
+                out.append((members[q][0], members[x][0]))
+                label[label == label[x]] = label[q]
+    return out
+
+
 def links(docs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     """a, b: links between classes that are enough to form all components."""
     part, whole = scheme.threshold.numerator, scheme.threshold.denominator
     found = materialise(prefixes(classes, scheme), "prefixes")
     lists = found.select("rep", "own", F.explode("prefix").alias("value"))
-    centre = lists.groupBy("value").agg(F.min(F.struct("own", "rep")).alias("centre"), F.count("*").alias("members")).filter("members > 1").select("value", F.col("centre.rep").alias("centre"))
-    stars = lists.join(centre, "value").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    centre = lists.groupBy("value").agg(F.min(F.struct("own", "rep")).alias("centre"), F.count("*").alias("members")).filter("members > 1").select("value", F.col("centre.rep").alias("centre"), "members")
+    meets = materialise(lists.join(centre, "value").filter("rep <> centre").select("centre", "rep", "value", "members"), "meets")
+    stars = meets.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     sketch_of = classes.select("rep", "n", "sketch")
     stars = stars.join(sketch_of.withColumnsRenamed({"rep": "b", "n": "n_b", "sketch": "sketch_b"}), "b").join(sketch_of.withColumnsRenamed({"rep": "a", "n": "n_a", "sketch": "sketch_a"}), "a")
-
-    def sizes(a: str, b: str) -> Column:
-        return F.least(a, b) * whole >= F.greatest(a, b) * part
-
-    likely = stars.filter(sizes("n_a", "n_b") & (estimate(F.col("sketch_a"), F.col("sketch_b"), scheme.k) >= scheme.least_estimate)).select("a", "b")
-    first = materialise(confirmed(docs, classes, materialise(likely, "likely"), scheme), "first-links")
-    # members of one list that are still apart
-    joined = materialise(found.join(components(first, "a", "b").withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-    members = joined.select("rep", "n", "component", "prefix", F.explode("prefix").alias("value"))
-    apart = members.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
-    left = members.join(apart, "value").join(classes.select("rep", "sketch"), "rep")
-    left = materialise(left.select("value", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "prefix", "sketch"))), "apart")
-    right = left.withColumnsRenamed({f"{c}_a": f"{c}_b" for c in ("rep", "n", "component", "prefix", "sketch")} | {"value": "value_b"})
-    # each pair once: in the first list that both are in
-    once = F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("value")
-    near = estimate(F.col("sketch_a"), F.col("sketch_b"), scheme.k) >= scheme.least_estimate
-    # pairs at a list's centre have been looked at
-    pairs = left.join(right, (F.col("value") == F.col("value_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & sizes("n_a", "n_b") & once & near)
-    rest = materialise(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).join(ordered(likely), ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
+    sizes = F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part
+    likely = materialise(stars.filter(sizes & (estimate(F.col("sketch_a"), F.col("sketch_b"), scheme.k) >= scheme.least_estimate)).select("a", "b"), "likely")
+    texts = texts_of(docs, classes, likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))), scheme)
+    first = materialise(confirmed(texts, likely, scheme), "first-links")
+    # members of one list, beside its centre, that are still apart; lists with one centre are looked at together
+    placed = meets.filter("members > 2").join(components(first, "a", "b").withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialise(placed, "placed")
+    apart = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
+    bundles = materialise(placed.join(apart, "value", "left_semi").select("centre", "rep", "component").distinct(), "bundles")
+    if bundles.isEmpty():
         return first
-    return first.unionByName(materialise(confirmed(docs, classes, rest, scheme), "second-links"))
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return first.unionByName(materialise(_between(docs, classes, bundles, scheme), "second-links"))
+
+
+def _between(docs: DataFrame, classes: DataFrame, bundles: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links within bundles (centre, rep, component). A large bundle is dealt over blocks, and each pair of blocks is a task of bounded size."""
+    texts = texts_of(docs, classes, bundles.select("rep"), scheme)
+    counts = bundles.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine")
+    dealt = bundles.join(counts, "centre").select("centre", "rep", "component", mine, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = dealt.join(texts, "rep").select("centre", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "rep", "component", "mine", "text")
+
+    def settle(rows):
+        key, group = None, []
+        for *at, rep, component, side, text in rows:
+            if at != key:
+                yield from crossing(group, scheme)
+                key, group = at, []
+            group.append((rep, component, side, text))
+        yield from crossing(group, scheme)
+
+    keys = ["centre", "low", "high"]
+    return map_rows(tiles.repartition(*keys).sortWithinPartitions(*keys), settle, "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, k: int = K) -> DataFrame:
