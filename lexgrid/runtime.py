@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -72,16 +74,33 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
-    """mapInArrow with a function from an iterator of row tuples to row tuples; batches go out by size."""
+def tidy() -> None:
+    """Give what a task has freed back to the system; a worker lives on for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow that tidies up after each task."""
     ship(df.sparkSession)
-    arrow = to_arrow_schema(_struct(schema))
 
     def run(batches):
-        yield from batches_of(fn(rows_of(batches)), arrow)
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """mapInArrow with a function from an iterator of row tuples to row tuples; batches go out by size."""
+    arrow = to_arrow_schema(_struct(schema))
+    return map_batches(df, lambda batches: batches_of(fn(rows_of(batches)), arrow), schema)
+
+
 def _struct(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)
