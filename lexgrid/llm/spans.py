@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.runtime import map_rows, materialise, rows_of, ship
+from lexgrid.runtime import map_batches, map_rows, materialise, rows_of
 
 SEGMENT = 1 << 20
 MOST_GROUP = 65_536
@@ -119,7 +119,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("anchor", pa.int64()), ("class", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("place", pa.int32())])
 
     def flush(held):
@@ -141,7 +140,7 @@ def all_runs(docs: DataFrame, scheme: Scheme) -> DataFrame:
         if held:
             yield flush(held)
 
-    return _keyed(docs).mapInArrow(run, RUN)
+    return map_batches(_keyed(docs), run, RUN)
 
 
 def _filtered(docs: DataFrame, keep: DataFrame) -> DataFrame:
@@ -160,8 +159,7 @@ def _filtered(docs: DataFrame, keep: DataFrame) -> DataFrame:
             hit = np.logical_and.reduce([(words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1 for p in at])
             yield b.filter(pa.array(hit)).select([0, 1, 2])
 
-    ship(docs.sparkSession)
-    return docs.select("doc_id", "text_hash", "text", *(h.alias(f"p{i}") for i, h in enumerate(hashes))).mapInArrow(run, "doc_id long, text_hash int, text string")
+    return map_batches(docs.select("doc_id", "text_hash", "text", *(h.alias(f"p{i}") for i, h in enumerate(hashes))), run, "doc_id long, text_hash int, text string")
 
 
 def _same_document(a: DataFrame, b: DataFrame) -> F.Column:
@@ -224,12 +222,13 @@ def repeated_ranges(docs: DataFrame, scheme: Scheme, matches: Callable, most_gro
 
     matches(contents, places of the anchor, scheme) yields (member, begin, end) of the maximal matches between members."""
     found = materialise(all_runs(docs, scheme), "runs")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("n > 1")
-    hits = found.join(often, "anchor")
+    # written, so that each join stands alone and an anchor or class with very many runs is split
+    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("n > 1"), "often")
+    hits = materialise(found.join(often, "anchor"), "hits")
     whole = hits.filter("low = high").withColumns({"copies": F.col("n"), "leads": F.lit(False)})
     mixed = hits.filter("low <> high")
     lead = F.min(F.struct("doc_id", "text_hash", "first")).alias("lead")
-    classes = mixed.groupBy("anchor", "class").agg(F.count("*").alias("copies"), lead)
+    classes = materialise(mixed.groupBy("anchor", "class").agg(F.count("*").alias("copies"), lead), "classes")
     leads = F.struct("doc_id", "text_hash", "first").eqNullSafe(F.col("lead"))
     mixed = mixed.join(classes, ["anchor", "class"]).withColumn("leads", leads).drop("lead")
     marks = materialise(whole.unionByName(mixed).filter("copies > 1 or leads").select("doc_id", "text_hash", "anchor", "first", "last", "place", "n", "copies", "leads"), "marks")
