@@ -50,7 +50,7 @@ def pattern() -> regex.Pattern:
 class PieceIds(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit integers; keeps a bounded number of short pieces."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 120_000) -> None:
         self.encode, self.most = core(path)._core_bpe.encode_single_piece, most
 
     def __missing__(self, piece: str) -> bytes:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.llm.components import components
 from lexgrid.llm.spans import mix
-from lexgrid.runtime import map_rows, materialise, ship
+from lexgrid.runtime import map_batches, map_rows, materialise
 
 K = 64
 SHINGLE = 5
@@ -78,7 +78,6 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, n (size of the set), set_key (a 128-bit hash of the set), sketch (the k smallest hashes)."""
-    ship(docs.sparkSession)
 
     def run(rows):
         for doc_id, text in rows:
@@ -127,7 +126,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, scheme: Scheme
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), b.column(1)], ["rep", "set_key", "text"])
 
     likely = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").select("rep", "text", *(p.alias(f"p{i}") for i, p in enumerate(places)))
-    texts = likely.mapInArrow(sift, "rep long, set_key string, text string").join(ids, ["rep", "set_key"]).dropDuplicates(["rep"]).select("rep", "text")
+    texts = map_batches(likely, sift, "rep long, set_key string, text string").join(ids, ["rep", "set_key"]).dropDuplicates(["rep"]).select("rep", "text")
     return materialise(texts, "texts")
 
 

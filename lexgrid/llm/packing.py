@@ -37,7 +37,7 @@ class Unsafe(Exception):
 class WordIds(dict):
     """A run of other characters after one blank, to the ids of blank and run; keeps a bounded number of them."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 120_000) -> None:
         self.encode, self.most = bpe.core(path)._core_bpe.encode_ordinary, most
 
     def __missing__(self, run: str) -> bytes:

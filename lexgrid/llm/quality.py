@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.runtime import map_rows, rows_of, ship
+from lexgrid.runtime import map_batches, map_rows, rows_of
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
@@ -146,22 +146,20 @@ def _scored(batches, trees: Trees, text_at: int):
 
 def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for every row."""
-    ship(docs.sparkSession)
 
     def run(batches):
         for b, s in _scored(batches, trees, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with their columns, that score at least the threshold."""
-    ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
         for b, s in _scored(batches, trees, at):
             yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
