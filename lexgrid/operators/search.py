@@ -91,11 +91,16 @@ def some_term(name: str, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.array_contains(f"{name}_tokens", t) for t in terms])
 
 
+def phrase_count(name: str, terms: list[str]) -> Column:
+    """How often the terms stand one after another; each token has blanks of its own, so neighbours share none."""
+    wanted = "".join(f" {t} " for t in terms)
+    line = F.concat(F.lit(" "), F.array_join(f"{name}_tokens", "  "), F.lit(" "))
+    return ((F.length(line) - F.length(F.replace(line, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+
+
 def phrase(name: str, terms: list[str]) -> Column:
     """The terms one after another, anywhere in the field."""
-    at = F.array_position(f"{name}_tokens", terms[0])
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(f"{name}_tokens") - len(terms), F.lit(0))), lambda i: F.slice(f"{name}_tokens", i + 1, len(terms)) == F.array(*map(F.lit, terms)))
-    return (at > 0) & (F.size(starts) > 0)
+    return phrase_count(name, terms) > 0
 
 
 def query_terms(text: str, records: DataFrame) -> list[str]:
