@@ -52,6 +52,14 @@ def human_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("n_chars < 10000").select("doc_id", strings.human_bytes(F.col("n_chars") * 97).alias("size"))
 
 
+@query(
+    "SELECT doc_id, CASE WHEN b >= 1125899906842624 THEN CAST(round(b / 1125899906842624, 1) AS VARCHAR) || ' PiB' WHEN b >= 1099511627776 THEN CAST(round(b / 1099511627776, 1) AS VARCHAR) || ' TiB' WHEN b >= 1073741824 THEN CAST(round(b / 1073741824, 1) AS VARCHAR) || ' GiB' WHEN b >= 1048576 THEN CAST(round(b / 1048576, 1) AS VARCHAR) || ' MiB' WHEN b >= 1024 THEN CAST(round(b / 1024, 1) AS VARCHAR) || ' KiB' ELSE CAST(b AS VARCHAR) || ' B' END AS size FROM (SELECT doc_id, n_chars * 97 AS b FROM documents)"
+)
+def human_sizes_all(spark, sf_dir):
+    """Sizes of every document, null ones as null; human_sizes is held to the documents its SQL names."""
+    return table(spark, sf_dir, "documents").select("doc_id", strings.human_bytes(F.col("n_chars") * 97).alias("size"))
+
+
 @query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey * 1024 WHEN 2 THEN o_custkey * 1048576 ELSE -1 END AS BIGINT) AS size FROM orders")
 def listing_sizes(spark, sf_dir):
     unit = F.element_at(F.array(*map(F.lit, ("", "K", "M", "?"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
