@@ -330,6 +330,15 @@ def exact_title_lookup(spark, sf_dir):
     return docs.join(wanted, "title_exact").select("wanted", "doc_id")
 
 
+@query("""WITH t AS (SELECT doc_id, lower(trim(replace(substr(split_part(text, chr(10), 1), 1, 80), '_', ' '))) AS t FROM documents), w AS (SELECT t, min(doc_id) AS wanted FROM t GROUP BY t)
+SELECT wanted, doc_id FROM t JOIN w USING (t)""")
+def exact_title_lookup_all(spark, sf_dir):
+    """Every title is asked for; exact_title_lookup is held to those its SQL names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(C.title_of(F.col("text"))).alias("title_exact"))
+    wanted = docs.groupBy("title_exact").agg(F.min("doc_id").alias("wanted"))
+    return docs.join(wanted, "title_exact").select("wanted", "doc_id")
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (1, 17, 42, 99)")
 def id_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(1, 17, 42, 99)).select("doc_id", "lang", "source", "n_chars")
@@ -352,11 +361,24 @@ r(id, target, hops) AS (SELECT src, src, 0 FROM s UNION ALL SELECT r.id, f.dst,
 l AS (SELECT id, max(hops) AS hops, arg_max(target, hops) AS target FROM r GROUP BY id)
 SELECT id, target, CAST(hops AS INTEGER) AS hops, hops = 8 AND target IN (SELECT src FROM f) AS exceeded FROM l""")
 def redirect_chain_8(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    edges = table(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.col("event_id").alias("src"), F.lead("event_id").over(order).alias("dst")).filter("dst is not null")
+    edges = event_edges(spark, sf_dir)
     return redirects.follow(edges.filter("src % 97 = 0").select(F.col("src").alias("id")), edges).select("id", "target", "hops", "exceeded")
 
 
+def event_edges(spark, sf_dir) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.col("event_id").alias("src"), F.lead("event_id").over(order).alias("dst")).filter("dst is not null")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r(id, target, hops) AS (SELECT src, src, 0 FROM f UNION ALL SELECT r.id, f.dst, r.hops + 1 FROM r JOIN f ON f.src = r.target WHERE r.hops < 8),
+l AS (SELECT id, max(hops) AS hops, arg_max(target, hops) AS target FROM r GROUP BY id)
+SELECT id, target, CAST(hops AS INTEGER) AS hops, hops = 8 AND target IN (SELECT src FROM f) AS exceeded FROM l""")
+def redirect_chain_8_all(spark, sf_dir):
+    """The chains from every edge; redirect_chain_8 is held to the starts its SQL names."""
+    edges = event_edges(spark, sf_dir)
+    return redirects.follow(edges.select(F.col("src").alias("id")), edges).select("id", "target", "hops", "exceeded")
+
+
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents")
 def redirect_canonical(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
@@ -366,12 +388,22 @@ def redirect_canonical(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, o_orderkey % 5 AS start, CAST(CASE WHEN o_orderkey % 5 < 3 THEN 2 ELSE 1 END AS INTEGER) AS hops, CASE WHEN o_orderkey % 5 < 3 THEN (o_orderkey % 5 + 2) % 3 ELSE CAST(9 AS BIGINT) END AS target, o_orderkey % 5 < 3 AS looped FROM orders WHERE o_orderkey % 10 < 5")
 def redirect_loop_guard(spark, sf_dir):
+    return _guarded(spark, table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 5"))
+
+
+def _guarded(spark, orders: DataFrame) -> DataFrame:
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 9), (4, 9)], "src long, dst long")
-    keys = table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 5").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 5).alias("start"))
+    keys = orders.select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 5).alias("start"))
     ends = redirects.follow(edges.select(F.col("src").alias("id")), edges).select(F.col("id").alias("start"), "target", "hops", "looped")
     return keys.join(ends, "start").select(F.col("key").alias("id"), "start", "hops", "target", "looped")
 
 
+@query("SELECT o_orderkey AS id, o_orderkey % 5 AS start, CAST(CASE WHEN o_orderkey % 5 < 3 THEN 2 ELSE 1 END AS INTEGER) AS hops, CASE WHEN o_orderkey % 5 < 3 THEN (o_orderkey % 5 + 2) % 3 ELSE CAST(9 AS BIGINT) END AS target, o_orderkey % 5 < 3 AS looped FROM orders")
+def redirect_loop_guard_all(spark, sf_dir):
+    """All orders; redirect_loop_guard is held to those its SQL names."""
+    return _guarded(spark, table(spark, sf_dir, "orders"))
+
+
 # change logs and generations
 
 _LAST = "SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events"

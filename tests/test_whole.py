@@ -28,3 +28,20 @@ def test_sizes_of_all_units_and_nulls(both):
     got = dict(both("human_sizes_all", documents=(list(enumerate(sizes)), "doc_id long, n_chars long")))
     assert len(got) == len(sizes) and got[12] is None
     assert [got[i] for i in (0, 1, 2, 5, 6, 7, 9)] == ["0 B", "970 B", "1.0 KiB", "1024.0 KiB", "1.0 MiB", "11.9 MiB", "1.0 GiB"]
+
+
+def test_every_title_is_asked_for(both):
+    texts = ["One_two\nbody", "other", "one two\nelse", "Other ", None, "alone"]
+    got = both("exact_title_lookup_all", documents=(list(enumerate(texts, 1)), "doc_id long, text string"))
+    assert got == [(1, 1), (1, 3), (2, 2), (2, 4), (6, 6)]
+
+
+def test_every_chain_is_followed(both):
+    events = [(i, 1, i, "view") for i in range(1, 13)] + [(20, 2, 1, "view"), (21, 2, 2, "error"), (22, 2, 3, "view"), (30, 3, 1, "view")]
+    got = both("redirect_chain_8_all", events=(events, "event_id long, user_id long, ts long, event_type string"))
+    assert set(got) == {(i, min(i + 8, 12), min(8, 12 - i), i + 8 < 12) for i in range(1, 12)} | {(20, 22, 1, False)}
+
+
+def test_every_order_is_guarded(both):
+    got = both("redirect_loop_guard_all", orders=([(i,) for i in range(20)], "o_orderkey long"))
+    assert [r[0] for r in sorted(got)] == list(range(20)) and [r[4] for r in sorted(got)] == [i % 5 < 3 for i in range(20)]
