@@ -3,7 +3,7 @@
 A document becomes its ids and a closing id 0, cut into pieces of at most `capacity` ids of which only the first may
 be shorter. A piece goes into the open sequence, or a new one, after which the sum over all residual gaps of the
 squared number of open sequences with that gap is smallest. Pieces come longest first, so that the short ones
-fill the gaps.
+fill the gaps. A string that the tokenizer file adds to its vocabulary is one id, wherever it stands in a text.
 
 Pieces are dealt evenly over shards of about `shard_rows` by a hash of document and place; each shard is packed by
 itself, and its few open sequences are what a larger number of shards costs. Only lengths are shuffled.
@@ -14,17 +14,21 @@ Other columns are ignored. An empty table gives no piece.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.llm import bpe
 from lexgrid.runtime import map_rows, materialise
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
 SHARD_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,8 +58,33 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def document_ids(text: str, path: str = bpe.RANKS) -> bytes:
-    """Ids of a text. A pre-token never crosses a single blank between two other characters, so runs are encoded alone."""
+@lru_cache(maxsize=4)
+def added_ids(path: str) -> dict[str, int]:
+    """Strings that a tokenizer file adds to its vocabulary, to their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that depend on their surroundings")
+    return {t["content"]: t["id"] for t in added}
+
+
+@lru_cache(maxsize=4)
+def added_pattern(path: str) -> re.Pattern:
+    """The added strings, longer ones first, as a group; a pattern that never matches if there are none."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(added_ids(path), key=len, reverse=True))) + ")" if added_ids(path) else "((?!))")
+
+
+def document_ids(text: str, path: str = bpe.RANKS, tokenizer: str = TOKENIZER) -> bytes:
+    """Ids of a text. Added strings are cut out first, and what lies between them is encoded alone."""
+    parts = added_pattern(tokenizer).split(text)
+    if len(parts) == 1:
+        return ordinary_ids(text, path)
+    added = added_ids(tokenizer)
+    return b"".join(np.array([added[t]], "<u4").tobytes() if i % 2 else ordinary_ids(t, path) for i, t in enumerate(parts))
+
+
+def ordinary_ids(text: str, path: str = bpe.RANKS) -> bytes:
+    """Ids of a text without added strings. A pre-token never crosses a single blank between two other characters, so runs are encoded alone."""
     table = word_ids(path)
     head, *rest = text.split(" ")
     if head[-1:].isspace() or not head and rest:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -52,6 +53,22 @@ def test_ids_equal_the_tokenizer_file():
         assert np.frombuffer(packing.document_ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=1)
+def tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*ALPHABET, "<|endoftext|>", "<|endoftext|>", "<|endof", "|>"]), max_size=60).map("".join))
+def test_added_tokens_equal_the_tokenizer_file(text):
+    t = tokenizer_file()
+    for x in (text, "one <|endoftext|> two", "<|endoftext|><|endoftext|>\n x"):
+        assert np.frombuffer(packing.document_ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def squares(gaps, capacity):
     return sum(n * n for g, n in gaps.items() if 0 < g < capacity)
 
