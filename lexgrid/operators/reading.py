@@ -28,6 +28,21 @@ def aligned_end(text: Column, offset: Column, size: Column) -> Column:
     return F.when(full & (back > 0) & (size - back + 1 > size / 2), offset + size - back + 1).otherwise(F.least(offset + size, F.char_length(text)))
 
 
+def aligned_pages(documents: DataFrame, text: str, size: int) -> DataFrame:
+    """One row an aligned page: offset and end; each page begins where the one before it ends, and an empty text has one."""
+    total = F.char_length(text)
+    # a page that is not the last holds more than half of the size, so so many steps are enough
+    steps = F.sequence(F.lit(0), F.floor(total / F.lit(size // 2)).cast("int"))
+
+    def step(ends: Column, _: Column) -> Column:
+        last = F.element_at(ends, -1)
+        return F.when((last < total) | (F.size(ends) == 1), F.array_append(ends, aligned_end(F.col(text), last, F.lit(size)).cast("int"))).otherwise(ends)
+
+    ends = documents.withColumn("_ends", F.aggregate(steps, F.array(F.lit(0)), step))
+    pages = F.arrays_zip(F.slice("_ends", F.lit(1), F.size("_ends") - 1).alias("offset"), F.slice("_ends", F.lit(2), F.size("_ends") - 1).alias("end"))
+    return ends.select(*documents.columns, F.inline(pages).alias("offset", "end"))
+
+
 def outline(documents: DataFrame, key: str, text: str, most: int = MOST_HEADINGS) -> DataFrame:
     """key, place, level, heading of the Markdown headings outside code fences, at most `most`; truncated tells of more."""
     lines = documents.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value"))

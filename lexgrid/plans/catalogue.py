@@ -254,6 +254,13 @@ def benchmark_batch_search(spark, sf_dir):
     return scored(search.batch(plain(spark, sf_dir), asked, 3), "item_id", "rank", "id")
 
 
+@query(ORACLE_SQL["benchmark_batch_search"].replace(f"list_slice({tok('text')}, 1, 3)", tok("text")))
+def benchmark_batch_search_all(spark, sf_dir):
+    """All terms of each text are asked for; benchmark_batch_search is held to the first three by its SQL."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(strings.tokens(F.col("text"))).alias("terms"))
+    return scored(search.batch(plain(spark, sf_dir), asked, 3), "item_id", "rank", "id")
+
+
 def _ranks(spark, sf_dir, column: str, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars"), F.size(strings.tokens(F.col("text"))).alias("words"))
     best = docs.orderBy(F.desc(column), "id").limit(k)
@@ -302,6 +309,13 @@ def embedded_title_ngrams(spark, sf_dir):
     return q.select("item_id", F.inline(fusion.grams(F.col("t"))))
 
 
+@query(ORACLE_SQL["embedded_title_ngrams"].replace(f"list_slice({tok('text')}, 1, 12)", tok("text")))
+def embedded_title_ngrams_all(spark, sf_dir):
+    """Spans of whole texts; over 20 tokens the shortest span allowed is longer than the longest, so there is none."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", strings.tokens(F.col("text")).alias("t"))
+    return q.select("item_id", F.inline(fusion.grams(F.col("t"))))
+
+
 @query(f"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_slice({tok('text')}, 1, 2))) AS t FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct({tok('text')})) AS term FROM documents),
 m AS (SELECT item_id, doc_id FROM (SELECT item_id, len(t) AS n, unnest(t) AS term FROM q) JOIN d USING (term) GROUP BY item_id, doc_id, n HAVING count(*) = n),
@@ -319,6 +333,24 @@ def distinctive_terms(spark, sf_dir):
     return asked.join(counts, "item_id", "left").select("item_id", matches.alias("matches"), fusion.distinctive(matches, F.lit(float(n)), F.size("t")).alias("is_distinctive"))
 
 
+@query(ORACLE_SQL["distinctive_terms"].replace(f"list_slice({tok('text')}, 1, 2)", tok("text")))
+def distinctive_terms_all(spark, sf_dir):
+    """All terms of each text; distinctive_terms is held to the first two by its SQL.
+
+    Only documents with an item's rarest term are looked at, so common terms make no pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(strings.tokens(F.col("text"))).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(strings.tokens(F.col("text"))).alias("t"))
+    n = docs.count()
+    terms = asked.select("item_id", F.explode("t").alias("term"))
+    held = docs.select("doc_id", "tokens", F.explode("tokens").alias("term"))
+    often = held.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = terms.join(often, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("r")).select("item_id", F.col("r.term").alias("term"))
+    whole = held.join(F.broadcast(rarest.join(asked, "item_id")), "term").filter(F.size(F.array_except("t", "tokens")) == 0)
+    counts = whole.groupBy("item_id").agg(F.count("*").alias("c"))
+    matches = F.coalesce("c", F.lit(0))
+    return asked.join(counts, "item_id", "left").select("item_id", matches.alias("matches"), fusion.distinctive(matches, F.lit(float(n)), F.size("t")).alias("is_distinctive"))
+
+
 # lookups
 
 
@@ -467,6 +499,12 @@ def normalize_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(F.substring("text", 1, 60)).alias("title"))
 
 
+@query("SELECT doc_id, lower(trim(replace(text, '_', ' '))) AS title FROM documents")
+def normalize_title_all(spark, sf_dir):
+    """Whole texts; normalize_title is held to their first 60 characters by its SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(F.col("text")).alias("title"))
+
+
 @query("SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS identifier, regexp_matches(regexp_replace(trim(p_brand), '[ -]', '', 'g'), '^[A-Za-z]{2,12}[0-9]{1,12}$') AS looks FROM part")
 def normalize_identifier(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", strings.normalize_identifier(F.col("p_brand")).alias("identifier"), strings.looks_like_identifier(F.col("p_brand")).alias("looks"))
@@ -477,6 +515,12 @@ def reference_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.reference_title(F.substring("text", 1, 60)).alias("title"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM documents")
+def reference_title_all(spark, sf_dir):
+    """Whole texts; reference_title is held to their first 60 characters by its SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", strings.reference_title(F.col("text")).alias("title"))
+
+
 @query("SELECT p_partkey, rtrim(substr(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120), '-') AS slug FROM part")
 def slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", strings.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
@@ -564,6 +608,16 @@ def slice_alignment(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", reading.aligned_end(F.col("text"), F.lit(0), F.lit(1000)).cast("int").alias("end"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+r(doc_id, text, "offset", "end") AS (SELECT doc_id, text, -1, 0 FROM t UNION ALL
+  SELECT doc_id, text, o, CASE WHEN length(text) > o + 1000 AND back > 0 AND 1001 - back > 500 THEN o + 1001 - back ELSE least(o + 1000, length(text)) END
+  FROM (SELECT doc_id, text, "end" AS o, strpos(reverse(substr(text, "end" + 1, 1000)), chr(10)) AS back FROM r WHERE "end" < length(text) OR "offset" < 0))
+SELECT doc_id, CAST("offset" AS INTEGER) AS "offset", CAST("end" AS INTEGER) AS "end" FROM r WHERE "offset" >= 0""")
+def slice_alignment_all(spark, sf_dir):
+    """Every page of each text, one beginning where the one before it ends; slice_alignment is held to the first by its SQL."""
+    return reading.aligned_pages(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 1000).select("doc_id", "offset", "end")
+
+
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
