@@ -148,3 +148,15 @@ def test_empty_tables(spark):
     empty = frame(spark, [])
     for found in (suffixes.dedup(empty), substrings.dedup(empty), substrings.drop_repeats(empty), minhash.groups(empty), minhash.keep_one(empty)):
         assert found.count() == 0
+
+
+def test_stated_rates_of_missed_pairs():
+    from math import ceil, comb
+
+    def below(p, most):
+        return sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(most))
+
+    stated = minhash.__doc__
+    for t in (Fraction(8, 10), Fraction(85, 100)):
+        s = minhash.Scheme(threshold=t)
+        assert f"{below(float(t), s.fewest):.1e}".replace("e-0", "e-") in stated and f"{below(float(t), ceil(64 * s.least_estimate)):.1e}".replace("e-0", "e-") in stated
