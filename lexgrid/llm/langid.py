@@ -1,15 +1,17 @@
 """Language identification by compression.
 
-Each language has zstandard raw-content dictionaries made of its texts. A text is compressed in blocks with the
-dictionaries of every language; the smallest total wins. Short texts, whose sizes tie easily, are also compressed
-with the quarters of each dictionary. Letters are folded to lower case first. A narrow margin between the two smallest totals is a rejection.
+Each language has a zstandard raw-content dictionary made of its texts. A text is compressed in blocks with the
+dictionary of every language; the smallest total wins. Letters are folded to lower case first. A narrow margin between
+the two smallest totals is a rejection.
 
-The fit reads a bounded sample: about `SAMPLE_DOCS` texts a language, `SAMPLE_CHARS` characters of each, at most
-`DICT_BYTES` in a dictionary. Prediction covers whole texts.
+The fit reads a bounded sample of labelled rows: whole texts, in an order drawn by a hash, up to `dict_bytes` a
+language. A text that would exceed the bound is left out of the sample; where no text of a language fits, its shortest
+one is the dictionary. Prediction covers whole texts, by the same way for every length.
 
 Edge cases: a text that is null or has no letter gets `und`, score 0, and is rejected. Rows without a language are
-no training rows. With nothing to learn from, every text gets `und`. Repeated rows get repeated results; other
-columns are ignored by predict().
+no training rows. A language whose sample holds fewer than 8 bytes (zstandard takes no smaller dictionary) is never
+predicted. With nothing to learn from, every text gets `und`. With one language a margin is 1. Repeated rows get
+repeated results; predict() ignores other columns, keep_identified() keeps them.
 """
 
 from __future__ import annotations
@@ -23,69 +25,68 @@ from pyspark.sql import functions as F
 
 from lexgrid.runtime import map_rows
 
-SAMPLE_DOCS = 300
-SAMPLE_CHARS = 2048
+#: Rows of each language whose lengths the fit looks at, and bytes of whole texts that it learns from.
+SAMPLE_DOCS = 1000
 DICT_BYTES = 112 * 1024
-BLOCK_BYTES = 8192
-SHORT_BYTES = 400
+BLOCK_BYTES = 1024
+LEAST_BYTES = 8
 #: A rejection: the second smallest total is not larger than the smallest by this share of it.
 NARROW = 0.002
-SHORT_LEVEL, WHOLE_LEVEL = 12, 6
+LEVEL = 6
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Language to dictionary, from the columns doc_id, text, lang. To the driver come about 2 * sample_docs texts a language at most."""
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+    """Language to dictionary, from the columns doc_id, text, lang. To the driver come the lengths of about sample_docs texts a language, then the texts chosen."""
     rows = labelled.filter("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    rates = [F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * sample_docs / n))) for k, n in counts.items()]
-    if not rates:
+    # a place that depends on the row alone; 60 bits tell the rows apart
+    rows = rows.withColumn("place", F.shiftright(F.xxhash64("doc_id", "text"), 4)).withColumn("size", F.octet_length("text"))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct("size", "place")).alias("shortest")).collect()
+    counts = {r["lang"]: r["n"] for r in seen}
+    if not counts:
         return {}
-    # a place from 0 to 1 that depends on the row's id alone
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    picked = rows.withColumn("place", place).filter(F.col("place") < F.coalesce(*rates)).selectExpr("lang", "place", "doc_id", f"substring(text, 1, {sample_chars}) as text").collect()
-    out: dict[str, list[bytes]] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0, r["text"])):
-        out.setdefault(r["lang"], []).append(Model.folded(r["text"]))
-    dicts = {lang: b"".join(texts[:sample_docs]) for lang, texts in out.items()}
-    # of one size as far as the texts go, so that no language gains by having more
-    size = min(dict_bytes, max(map(len, dicts.values())))
+    rates = [F.when(F.col("lang") == k, F.lit(min(1.0, sample_docs / n))) for k, n in counts.items()]
+    drawn = rows.filter(F.pmod("place", F.lit(1_000_003)) / 1_000_003 < F.coalesce(*rates))
+    lengths: dict[str, list[tuple[int, int]]] = {lang: [] for lang in counts}
+    for r in drawn.select("lang", "place", "size").distinct().collect():
+        lengths[r["lang"]].append((r["place"], r["size"]))
+    for r in seen:
+        if not any(size <= dict_bytes for _, size in lengths[r["lang"]]):
+            lengths[r["lang"]] = [(r["shortest"]["place"], 0)]
+    chosen: dict[str, list[int]] = {}
+    for lang, found in lengths.items():
+        left = dict_bytes
+        for place, size in sorted(found):
+            if size <= left:
+                chosen.setdefault(lang, []).append(place)
+                left -= size + 2
+    wanted = F.col("place").isin([p for ps in chosen.values() for p in ps])
+    texts = {(r["lang"], r["place"]): r["text"] for r in rows.filter(wanted).select("lang", "place", "text").distinct().collect()}
+    dicts = {lang: b"".join(Model.folded(texts[lang, p]) for p in ps) for lang, ps in chosen.items()}
     # the most frequent language first: it wins ties
-    return {lang: dicts[lang][:size] for lang in sorted(dicts, key=lambda x: (-counts[x], x)) if len(dicts[lang]) >= 8}
+    return {lang: dicts[lang] for lang in sorted(dicts, key=lambda x: (-counts[x], x)) if len(dicts[lang]) >= LEAST_BYTES}
 
 
 class Model:
-    """Compressors of every language; made once in a task."""
+    """A compressor for every language; made once in a task."""
 
-    def __init__(self, dicts: dict[str, bytes]) -> None:
+    def __init__(self, dicts: dict[str, bytes], level: int = LEVEL) -> None:
         self.langs = list(dicts)
-        self.whole = [self.compressors([dicts[x]], WHOLE_LEVEL) for x in self.langs]
-        self.parts = []
+        self.compress = []
         for x in self.langs:
-            step = max(64, -(-len(dicts[x]) // 4))
-            self.parts.append(self.compressors([dicts[x]] + [dicts[x][i : i + step] for i in range(0, len(dicts[x]), step)], SHORT_LEVEL))
-
-    @staticmethod
-    def compressors(contents: list[bytes], level: int) -> list:
-        out = []
-        for c in contents:
-            if len(c) >= 8:
-                d = zstd.ZstdCompressionDict(c, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level)
-                out.append(zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        return out
+            d = zstd.ZstdCompressionDict(dicts[x], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level)
+            self.compress.append(zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     @staticmethod
     def folded(text: str) -> bytes:
         """Lower case between blanks, as words stand in the dictionaries."""
         return f" {text.lower()} ".encode()
 
-    def sizes(self, data: bytes) -> list[float]:
-        if len(data) <= SHORT_BYTES:
-            return [sum(len(c(data)) for c in cs) / len(cs) for cs in self.parts]
+    def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return [sum(len(cs[0](b)) for b in blocks) for cs in self.whole]
+        return [sum(len(c(b)) for b in blocks) for c in self.compress]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score from 0 to 1, margin, rejected)."""
@@ -121,4 +122,4 @@ def keep_identified(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
             if not model.predict(row[at])[3]:
                 yield row
 
-    return map_rows(docs, run, docs._jdf.schema().toDDL())
+    return map_rows(docs, run, docs.schema)
