@@ -27,6 +27,8 @@ BLOCK = 8192
 STRIP = 512
 #: Slack of the single-precision bounds; pairs within it are decided in double precision.
 SLACK = 1e-4
+#: Bytes that the gathered components of some pairs may take, on either side.
+CHUNK_BYTES = 64 << 20
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -36,8 +38,13 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that neither huge nor tiny ones leave the range of doubles; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -64,11 +71,18 @@ def steps(width: int) -> list[int]:
     return sorted({min(width, x) for x in (8, 24)} | {width})
 
 
-def linked(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float):
-    """Yields (rows of a, rows of b) with a cosine of at least the threshold. a, b: vectors; ra, rb: rotated unit vectors in single precision."""
+def linked(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float, chunk_bytes: int = CHUNK_BYTES):
+    """Yields (rows of a, rows of b) with a cosine of at least the threshold. a, b: scaled vectors; ra, rb: rotated unit vectors in single precision.
+
+    Pairs are gathered in chunks of bounded bytes, whatever the width."""
     ends = steps(ra.shape[1])
     norms = [(np.sqrt((ra[:, e:] ** 2).sum(1)), np.sqrt((rb[:, e:] ** 2).sum(1))) for e in ends]
     la, lb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+
+    def chunks(n: int, width: int, size: int):
+        step = max(1, chunk_bytes // max(1, width * size))
+        return (slice(c, c + step) for c in range(0, n, step))
+
     for s in range(0, len(a), STRIP):
         part, begin, pairs = np.zeros((min(STRIP, len(a) - s), len(b)), np.float32), 0, None
         for end, (na, nb) in zip(ends, norms, strict=True):
@@ -80,13 +94,14 @@ def linked(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, thresho
                     sums = part[pairs]
             else:
                 i, j = pairs
-                sums = sums + np.einsum("ij,ij->i", ra[s + i, begin:end], rb[j, begin:end])
+                more = [np.einsum("ij,ij->i", ra[s + i[c], begin:end], rb[j[c], begin:end]) for c in chunks(len(i), end - begin, 4)]
+                sums = sums + np.concatenate([*more, np.zeros(0, np.float32)])
                 alive = sums + na[s + i] * nb[j] >= threshold - SLACK
                 pairs, sums = (i[alive], j[alive]), sums[alive]
             begin = end
         i, j = pairs
-        for c in range(0, len(i), 1 << 18):
-            u, v = i[c : c + (1 << 18)] + s, j[c : c + (1 << 18)]
+        for c in chunks(len(i), a.shape[1], 8):
+            u, v = i[c] + s, j[c]
             cosine = np.einsum("ij,ij->i", a[u], b[v]) / (la[u] * lb[v])
             yield u[cosine >= threshold], v[cosine >= threshold]
 
@@ -112,6 +127,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block:
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
         at, to = np.flatnonzero(home == low), np.flatnonzero(home == high)
         count, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        x = scaled(x)
         for u, v in linked(x[at], x[to], r[at], r[to], threshold):
             u, v = at[u], to[v]
             if low == high:
