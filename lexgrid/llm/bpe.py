@@ -11,6 +11,7 @@ the id and the text are ignored. A text whose chunks share no boundary is split
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 from itertools import accumulate
 
@@ -145,14 +146,14 @@ def encode(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK_CHARS, overlap
         ids = encode_pieces([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], path)
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * copies, "ids": [ids] * copies})
 
+    def chunked(rows):
+        for doc_id, text in rows:
+            digest = hashlib.sha256(text.encode("utf-8")).hexdigest()
+            for s in chunk_starts(len(text), chunk, overlap):
+                yield doc_id, digest, s, text[s : s + chunk]
+
     short = map_rows(docs.filter(F.length("text") <= chunk), whole, "doc_id long, ids binary")
-    starts = F.explode(F.sequence(F.lit(0), F.length("text") - F.lit(overlap + 1), F.lit(step)))
-    chunks = (
-        docs.filter(F.length("text") > chunk)
-        .select("doc_id", F.sha2("text", 256).alias("digest"), "text", starts.alias("start"))
-        .select("doc_id", "digest", F.col("start").cast("long").alias("start"), F.expr(f"substring(text, start + 1, {chunk})").alias("text"))
-        .repartition("doc_id", "digest", "start")
-    )
+    chunks = map_rows(docs.filter(F.length("text") > chunk), chunked, "doc_id long, digest string, start long, text string").repartition("doc_id", "digest", "start")
     cut = map_rows(chunks, split, "doc_id long, digest string, start long, text string, cuts binary")
     # a null doc_id is a key of its own, so such rows are joined by their text
     long = cut.groupBy("doc_id", "digest").applyInPandas(join, "doc_id long, ids binary")
