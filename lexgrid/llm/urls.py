@@ -8,8 +8,8 @@ passes wrongly: then membership is exact for every key of the universe, without
 a second one, over the rules as universe, tells those that block. The longest listed key decides.
 
 A level's bits are sums over keys made by the executors; only the words of the finished filter come to the driver.
-Their number follows the rule list, not the corpus, and is checked against `MOST_BITS`. A longer list is looked up
-by an equi-join on the keys.
+Their number follows the rule list, not the corpus, and is checked against `MOST_BITS`: a longer list is dealt over
+several cascades by a hash of the key, which are looked up one after another. A cascade's words stand once in a plan.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and fits no rule. Without a rule that fits,
 or without any rules, the verdict is allow. Of equal rules that disagree, block wins. Between keys of one length the
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,12 +48,18 @@ class Level:
     hashes: int
     words: list[int]
 
-    def passes(self, key: Column) -> Column:
-        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded into one literal
+    def passes(self, key: Column, words: Column) -> Column:
+        """Whether a key is in the filter; words: this level's words, bound once by bound()."""
         tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in positions(key, self)]
         return reduce(lambda a, b: a & b, tests)
 
 
+def bound(levels: list[Level], use: Callable[[list[Column]], Column]) -> Column:
+    """use(words of each level): the words of all levels are one literal, to which everything that `use` makes refers."""
+    words = F.from_json(F.lit(json.dumps([x.words for x in levels])), "array<array<bigint>>")
+    return F.get(F.transform(F.array(words), lambda w: use([F.get(w, F.lit(i)) for i in range(len(levels))])), F.lit(0))
+
+
 def positions(key: Column, level: Level) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level.seed), F.lit(i), key), F.lit(level.bits)) for i in range(level.hashes)]
 
@@ -77,19 +84,24 @@ def cascade(universe: DataFrame, n_listed: int, n_others: int) -> list[Level]:
     while n:
         levels.append(build(mine, n, rate if not levels else 0.5, len(levels) + 1))
         # what passes wrongly is the next level's list
-        wrong = materialise(others.filter(levels[-1].passes(F.col("key"))).select("key"), "wrong")
+        wrong = materialise(others.filter(bound(levels[-1:], lambda w: levels[-1].passes(F.col("key"), w[0]))).select("key"), "wrong")
         mine, others, n = wrong, mine, wrong.count()
     return levels
 
 
-def member(key: Column, levels: list[Level]) -> Column:
+def member(key: Column, levels: list[Level], words: list[Column]) -> Column:
     """Whether a key of the universe is listed: the first level that it does not pass decides."""
     out = F.lit(len(levels) % 2 == 1)
     for i in range(len(levels) - 1, -1, -1):
-        out = F.when(~levels[i].passes(key), F.lit(i % 2 == 1)).otherwise(out)
+        out = F.when(~levels[i].passes(key, words[i]), F.lit(i % 2 == 1)).otherwise(out)
     return out
 
 
+def listed_among(keys: Column, levels: list[Level]) -> Column:
+    """Those of an array of keys that a cascade lists."""
+    return bound(levels, lambda words: F.filter(keys, lambda k: member(k, levels, words))) if levels else F.filter(keys, lambda k: F.lit(False))
+
+
 def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
     """(length, host length, key) of all keys of the given shapes (labels of the host, characters of the path), longest first."""
     ends = {n: F.substring_index(host, ".", -n) for n, _ in shapes}
@@ -111,23 +123,25 @@ def judge(urls: DataFrame, rules: DataFrame, most_bits: int = MOST_BITS) -> Data
     if not shapes:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     listed = materialise(keyed, "rules")
-    n, n_blocks = listed.agg(F.count("*"), F.count_if("blocks")).first()
+    n = listed.count()
     with_keys = pages.withColumn("keys", candidates(F.col("host"), F.col("path"), shapes))
     keys = with_keys.select(F.explode("keys").alias("key"), F.lit(False).alias("listed")).union(listed.select("key", F.lit(True)))
     universe = materialise(keys.groupBy("key").agg(F.max("listed").alias("listed")), "universe")
     total = universe.count()
-    if n * 1.45 * (math.log2(max(2, total / n)) + 2) > most_bits:
-        return _joined(with_keys, listed)
-    all_rules = cascade(universe, n, total - n)
-    blocking = cascade(listed.select("key", F.col("blocks").alias("listed")), n_blocks, n - n_blocks)
-    rule = F.get(F.filter("keys", lambda k: member(k, all_rules)), F.lit(0))
-    out = with_keys.select("page_id", "host", "path", rule.alias("rule"))
-    return out.withColumn("verdict", F.when(F.col("rule").isNotNull() & member(F.col("rule"), blocking), "block").otherwise("allow"))
-
-
-def _joined(with_keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """For rule lists beyond the bound of a filter: the distinct key lists of the pages meet the rules by key."""
-    lists = with_keys.select("keys").distinct()
-    best = lists.select("keys", F.posexplode("keys").alias("at", "key")).join(listed, "key").groupBy("keys").agg(F.min(F.struct("at", "key", "blocks")).alias("best"))
-    out = with_keys.join(best, "keys", "left")
-    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.when(F.col("best.blocks"), "block").otherwise("allow").alias("verdict"))
+    parts = max(1, math.ceil(n * 1.45 * (math.log2(max(2, total / n)) + 2) / most_bits))
+    part = lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+    out = with_keys.withColumns({"rules": F.array().cast("array<string>"), "blocks": F.array().cast("array<string>")})
+    for p in range(parts):
+        mine = listed.filter(part(F.col("key")) == p)
+        others = universe.filter(part(F.col("key")) == p)
+        n, n_blocks = mine.agg(F.count("*"), F.count_if("blocks")).first()
+        all_rules = cascade(others, n, others.count() - n)
+        blocking = cascade(mine.select("key", F.col("blocks").alias("listed")), n_blocks, n - n_blocks)
+        here = F.lit(p)
+        hits = listed_among(F.filter("keys", lambda k: part(k) == here), all_rules)  # noqa: B023  made at once
+        out = out.withColumn("hits", hits).withColumns({"rules": F.concat("rules", "hits"), "blocks": F.concat("blocks", listed_among(F.col("hits"), blocking))}).drop("hits")
+        if parts > 1:
+            out = materialise(out, "judged")
+    rule = F.get(F.filter("keys", lambda k: F.array_contains("rules", k)), F.lit(0))
+    verdict = F.when(F.array_contains("blocks", F.col("rule")), "block").otherwise("allow")
+    return out.withColumn("rule", rule).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), verdict).otherwise("allow").alias("verdict"))
