@@ -7,7 +7,8 @@ The fit reads a bounded sample of about `SAMPLE_ROWS` labelled documents.
 
 Edge cases: a null text counts as empty; empty texts have all statistics 0 and get a score like any other. Labels
 that are null, or whose document is missing, are not learned from. Without both labels every score is the share of
-label 1, or 0.5 without labels. Repeated rows get repeated results; other columns are ignored by score().
+label 1, or 0.5 without labels. Repeated rows get repeated results; of an id that repeats one text is learned from. Other
+columns are ignored by score() and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrid.runtime import map_batches, map_rows, rows_of
 
@@ -114,14 +116,15 @@ def grow(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: f
     return Trees(base, depth, feature, threshold, value)
 
 
-def features(docs: DataFrame, extra: str | None = None) -> DataFrame:
-    columns = ["text"] + ([extra] if extra else [])
+def features(docs: DataFrame, *others: str) -> DataFrame:
+    """x, the statistics of each text, and the other columns asked for."""
 
     def run(rows):
         for text, *rest in rows:
             yield statistics(text), *rest
 
-    return map_rows(docs.select(*columns), run, "x array<double>" + (f", {extra} int" if extra else ""))
+    docs = docs.select("text", *others)
+    return map_rows(docs, run, T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), *docs.schema.fields[1:]]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
@@ -130,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     n = labels.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     drawn = labels.filter(place < min(1.0, sample_rows / max(1, n)))
-    learned = features(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "y").toPandas()
+    # one text of an id that repeats, so that no more rows come to the driver than labels were drawn
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    learned = features(texts, "y", "doc_id").groupBy("doc_id").agg(F.max(F.struct("x", "y")).alias("m")).select("m.x", "m.y").toPandas()
     if n == 0 or learned.empty:
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
     order = np.lexsort(np.array([*learned["x"]]).T[::-1])  # the same trees however the rows arrive
