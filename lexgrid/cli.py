@@ -10,6 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from lexgrid.engine import Engine
+from lexgrid.sources.registry import Registry
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,19 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--offset", type=int, default=0)
     find.add_argument("--limit", type=int, default=10)
     find.add_argument("--include-secondary", action="store_true")
+    offered = verbs.add_parser("available")
+    offered.add_argument("text", nargs="?", default="")
+    offered.add_argument("--offset", type=int, default=0)
+    offered.add_argument("--limit", type=int, default=20)
+    offered.add_argument("--refresh", action="store_true")
+    offered.add_argument("--language", default="")
+    offered.add_argument("--source", default="")
+    offered.add_argument("--hide-installed", action="store_true")
+    for verb in ("download", "update"):
+        get = verbs.add_parser(verb)
+        get.add_argument("dataset")
+        get.add_argument("--variant", default="")
+        get.add_argument("--wait", type=float, default=24 * 3600.0, help="seconds to wait for the job")
     read = verbs.add_parser("read")
     read.add_argument("target", help="a reference, or dataset:id")
     read.add_argument("--section", default="")
@@ -47,7 +61,14 @@ def run(engine: Engine, a: argparse.Namespace) -> object:
     if a.verb == "list":
         return [r.asDict() for r in engine.list_local().collect()]
     if a.verb == "status":
-        return {"settings": vars(engine.settings), "datasets": sorted(engine.manifest["datasets"]), "jobs": len(engine.jobs.jobs)}
+        return engine.status() | {"jobs": len(engine.jobs.jobs)}
+    if a.verb == "available":
+        rows, total = engine.list_available(a.text, a.offset, a.limit, a.refresh, a.language, a.source, a.hide_installed)
+        return {"total": total, "datasets": rows, "errors": engine.errors}
+    if a.verb in ("download", "update"):
+        job = engine.download(a.dataset, a.variant) if a.verb == "download" else engine.update(a.dataset)
+        engine.dispatcher.wait(a.wait)
+        return asdict(engine.jobs.jobs[job.id])
     if a.verb == "jobs":
         return [asdict(j) for j in engine.jobs.listed()]
     if a.verb == "cleanup":
@@ -67,10 +88,11 @@ def run(engine: Engine, a: argparse.Namespace) -> object:
     return asdict(engine.read_reference(a.target, **options))
 
 
-def main(arguments: list[str] | None = None) -> int:
+def main(arguments: list[str] | None = None, registry: Registry | None = None) -> int:
+    """registry: the providers that `available`, `download` and `update` ask."""
     a = parser().parse_args(arguments)
     try:
-        out = run(Engine(SparkSession.builder.getOrCreate(), a.root), a)
+        out = run(Engine(SparkSession.builder.getOrCreate(), a.root, registry), a)
     except (KeyError, ValueError) as e:
         print(json.dumps({"error": str(e)}), file=sys.stderr)
         return 1

@@ -66,3 +66,13 @@ def search_bounds(text: str) -> tuple[str, str]:
         raise ValueError(f"no date: {text!r}") from e
     at = at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
     return at.isoformat(sep=" "), at.isoformat(sep=" ")
+
+
+def or_null(text: Column) -> Column:
+    """A stored time as text; null where it is none."""
+    return text.try_cast("timestamp")
+
+
+def by_priority(value: Column, priority: Column, place: Column) -> Column:
+    """Aggregate: the date of the highest priority, of equal ones the later entry."""
+    return F.max_by(value, F.struct(priority, place, value))

@@ -50,3 +50,22 @@ def reuse(previous: DataFrame, current: DataFrame, key: list[str], digest: str)
     same = [*key, digest]
     known = previous.select(*same).distinct()
     return current.join(known, same, "left_semi"), current.join(known, same, "left_anti")
+
+
+def of_generations(rows: DataFrame, active: DataFrame, column: str = "generation") -> DataFrame:
+    """Rows of the generations listed."""
+    return rows.join(active.select(column).distinct(), column, "left_semi")
+
+
+def without_generations(rows: DataFrame, gone: DataFrame, column: str = "generation") -> DataFrame:
+    """Rows of all generations but those listed."""
+    return rows.join(gone.select(column).distinct(), column, "left_anti")
+
+
+def retired(held: Column, new: Column) -> Column:
+    """The set of retired generations with one more; it stands there once."""
+    return F.array_union(held, F.array(new))
+
+
+def unretired(held: Column, back: Column) -> Column:
+    return F.array_remove(held, back)

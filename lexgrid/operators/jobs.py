@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -47,13 +48,17 @@ class Jobs:
     """All jobs under one folder. Reopening puts jobs that were running back in the queue; paused ones stay."""
 
     def __init__(self, path: str, clock=time.time) -> None:
-        self.path, self.clock = path, clock
+        self.path, self.clock, self.lock = path, clock, threading.Lock()
         self.jobs = {j["id"]: Job(**j) for j in read_json(path, [])}
         for j in self.jobs.values():
             if j.state in ACTIVE:
                 j.state = "queued"
 
     def save(self) -> None:
+        with self.lock:
+            self._save()
+
+    def _save(self) -> None:
         write_json(self.path, [asdict(j) for j in self.jobs.values()])
 
     def submit(self, dataset: str, kind: str = "download") -> Job:

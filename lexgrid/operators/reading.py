@@ -85,3 +85,8 @@ def html_text(html: Column) -> Column:
     """Text without scripts, styles and tags, blanks collapsed; entities stay."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " "), r"<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
+
+
+def resolved(links: DataFrame, targets: DataFrame, by: str, target: str, missing: int) -> DataFrame:
+    """Links with the target that their path leads to, or `missing`."""
+    return links.join(targets, by, "left").withColumn(target, F.coalesce(F.col(target), F.lit(missing)))

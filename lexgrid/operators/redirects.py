@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrid.runtime import materialise
+
 WIKI_HOPS, ARCHIVE_HOPS = 8, 16
 
 
 def follow(starts: DataFrame, edges: DataFrame, hops: int = WIKI_HOPS) -> DataFrame:
     """id, target, hops, looped, exceeded for each start (column id); edges: src to dst, one per src.
 
-    Unrolled equi-joins: a start leaves the frontier where its chain ends, so later joins shrink. A chain that meets a
-    node again is looped and stays where it closed; one that still has an edge after the last hop is exceeded."""
-    at = starts.select("id", F.col("id").alias("target"), F.lit(0).alias("hops"), F.array("id").alias("path"), F.lit(False).alias("looped"), F.lit(False).alias("done"))
-    for _ in range(hops):
-        step = at.join(edges.select(F.col("src").alias("target"), F.col("dst").alias("_next")), "target", "left")
-        move = ~F.col("done") & F.col("_next").isNotNull()
-        loops = move & F.array_contains("path", F.col("_next"))
-        goes = move & ~loops
-        at = step.select(
-            "id",
-            F.when(goes, F.col("_next")).otherwise(F.col("target")).alias("target"),
-            (F.col("hops") + goes.cast("int")).alias("hops"),
-            F.when(goes, F.array_append("path", F.col("_next"))).otherwise(F.col("path")).alias("path"),
-            (F.col("looped") | loops).alias("looped"),
-            (~goes).alias("done"),
-        )
-    more = at.join(edges.select(F.col("src").alias("target"), F.lit(True).alias("_more")), "target", "left")
-    return more.select("id", "target", "hops", "looped", (F.coalesce("_more", F.lit(False)) & ~F.col("looped")).alias("exceeded"))
+    Unrolled equi-joins with edges that are dealt by src once. A start leaves the frontier where its chain ends, and what
+    is left is written, so later joins hold only chains that go on. A chain that meets a node again is looped and stays
+    where it closed; one that still has an edge after the last hop is exceeded."""
+    edges = materialise(edges.select(F.col("src").alias("target"), F.col("dst").alias("_next")).repartition("target"), "edges")
+    at = starts.select("id", F.col("id").alias("target"), F.lit(0).alias("hops"), F.array("id").alias("path"))
+    ended = []
+    for n in range(hops + 1):
+        step = materialise(at.join(edges, "target", "left"), "hop")
+        more = F.col("_next").isNotNull()
+        loops = more & F.array_contains("path", F.col("_next")) if n < hops else F.lit(False)
+        goes, over = more & ~loops, more if n == hops else F.lit(False)
+        done = step.filter(~goes | over).select("id", "target", "hops", loops.alias("looped"), over.alias("exceeded"))
+        ended.append(done.withColumns({"looped": F.coalesce("looped", F.lit(False)), "exceeded": F.coalesce("exceeded", F.lit(False))}))
+        at = step.filter(goes).select("id", F.col("_next").alias("target"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("_next")).alias("path"))
+        if n == hops or at.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended)

@@ -1,7 +1,8 @@
 """Ranked search over records: clauses scored by BM25 or as exact matches, filters, order, pages.
 
-A query is two narrow passes over the records: one gathers document frequencies and lengths of the query's terms in
-one row, the other scores each record by expressions and keeps the best by a top-k, so nothing else is shuffled.
+With an index (operators.postings) a query reads the postings of its terms and narrow columns of the records. Without
+one it is two passes over the records: one gathers document frequencies and lengths of the query's terms in one row, the
+other scores each record by expressions. Both keep the best by a top-k.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexgrid.functions import strings
@@ -18,7 +19,6 @@ from lexgrid.functions import strings
 K1, B = 1.2, 0.75
 #: What a match in each field counts.
 BOOSTS = {"title_exact": 20.0, "identifier_exact": 30.0, "aliases": 5.0, "title": 6.0, "keywords": 2.5, "body": 1.0, "all_terms": 2.0}
-FIELDS = {"title": F.col, "body": F.col}
 WINDOW_LEAST, WINDOW_MOST = 100, 500
 
 
@@ -132,8 +132,10 @@ def visible(records: DataFrame, q: Query) -> DataFrame:
     return bounded(records, q.after, q.before)
 
 
-def ranked(records: DataFrame, q: Query, terms: list[str] | None = None) -> DataFrame:
-    """Matching records with is_exact and score. Statistics are those of all records, whatever the filters."""
+def ranked(records: DataFrame, q: Query, terms: list[str] | None = None, index=None) -> DataFrame:
+    """Matching records with is_exact and score. Statistics are those of all records, whatever the filters.
+
+    index: the postings of exactly these records; `source` tells generations apart where it has several."""
     terms = query_terms(q.text, records) if terms is None else terms
     names = ["title", *(n for n in ("keywords", "aliases") if n in records.columns), *(["body"] if q.full_text and "body" in records.columns else [])]
     exact = strings.normalize_title(F.col("title")) == strings.normalize_title(F.lit(q.text))
@@ -142,6 +144,13 @@ def ranked(records: DataFrame, q: Query, terms: list[str] | None = None) -> Data
     score = F.when(exact, BOOSTS["title_exact"]).otherwise(0.0) + F.when(F.coalesce(identified, F.lit(False)), BOOSTS["identifier_exact"]).otherwise(0.0)
     if looks_like_identifier(q.text) or not terms:
         tokenized = records
+    elif index is not None:
+        key = ["source", "id"] if "source" in records.columns else ["id"]
+        tokenized = records.join(index.matches(terms, names).select(*key, *(c for n in names for c in (f"s_{n}", f"n_{n}"))), key, "left")
+        for n in names:
+            score = score + BOOSTS[n] * F.coalesce(f"s_{n}", F.lit(0.0))
+        if "body" in names and len(terms) > 1:
+            score = score + F.when(F.col("n_body") == len(terms), BOOSTS["all_terms"] * F.col("s_body")).otherwise(0.0)
     else:
         tokenized = with_tokens(records, names)
         s = statistics(tokenized, names, terms)
@@ -151,7 +160,7 @@ def ranked(records: DataFrame, q: Query, terms: list[str] | None = None) -> Data
             score = score + F.when(all_terms("body", terms), BOOSTS["all_terms"] * bm25("body", terms, s)).otherwise(0.0)
     weight = F.when(F.col("rank_weight") > 0, F.col("rank_weight")).otherwise(1.0) if "rank_weight" in records.columns else F.lit(1.0)
     out = visible(tokenized, q).withColumns({"is_exact": exact, "raw_score": score}).filter("raw_score > 0")
-    return out.withColumn("score", F.col("raw_score") * weight).drop("raw_score", *(f"{n}_tokens" for n in names))
+    return out.withColumn("score", F.col("raw_score") * weight).drop("raw_score", *(c for n in names for c in (f"{n}_tokens", f"s_{n}", f"n_{n}")))
 
 
 def ordered(hits: DataFrame, sort: str = "relevance", key: str = "id") -> DataFrame:
@@ -167,24 +176,47 @@ def candidate_window(offset: int, limit: int) -> int:
 
 
 def page(hits: DataFrame, q: Query, key: str = "id") -> DataFrame:
-    """One page: the best candidates in order, then the cut. Relevance looks at a bounded window first, as the total does not."""
-    best = ordered(hits, q.sort, key)
+    """One page, cut from a bounded window of the best candidates; the total counts all."""
+    best = ordered(hits, q.sort, key).limit(candidate_window(q.offset, q.limit))
+    best = ordered(best, q.sort, key)
     return best.offset(q.offset).limit(q.limit) if q.offset else best.limit(q.limit)
 
 
-def batch(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Many queries in one plan: item_id and terms of `queries` against the body of `records`; the k best of each.
+def page_and_total(hits: DataFrame, q: Query, key: str = "id") -> tuple[list, int]:
+    """(rows of the page, number of all hits) from one execution: hits are counted on their way to the top-k."""
+    seen = Observation()
+    rows = page(hits.observe(seen, F.count(F.lit(1)).alias("n")), q, key).collect()
+    return rows, seen.get["n"]
+
 
-    Postings are cut to the terms that some query asks for by a semi-join, so the join's input follows the queries."""
+def batch(index, queries: DataFrame, k: int) -> DataFrame:
+    """Many queries in one plan: item_id and terms of `queries` against the bodies of an index; the k best of each.
+
+    Of the postings only those of terms that some query asks for are read on; scores combine before they are shuffled."""
     asked = queries.select("item_id", F.explode("terms").alias("term")).distinct()
-    tokenized = with_tokens(records, ["body"]).select("id", "body_tokens")
-    n, total = tokenized.agg(F.count("*"), F.sum(F.size("body_tokens"))).first()
-    average = (total or 0) / n if n else 1.0
-    exploded = tokenized.select("id", F.size("body_tokens").alias("length"), F.explode("body_tokens").alias("term"))
-    postings = exploded.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").cast("double").alias("tf"))
+    postings = index.all_rows().filter("field = 'body' and term <> ''").join(asked.select("term").distinct(), "term", "left_semi").select("id", "term", "tf", "length")
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
+    idf = F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    one = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(index.average.get("body") or 1.0)))
     scores = postings.join(frequencies, "term").select("id", "term", one.alias("s")).join(asked, "term").groupBy("item_id", "id").agg(F.sum("s").alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def in_namespaces(records: DataFrame, namespaces: list[int]) -> DataFrame:
+    return records.filter(F.col("namespace").isin(namespaces))
+
+
+def by_ids(records: DataFrame, ids: list, column: str = "id") -> DataFrame:
+    return records.filter(F.col(column).isin(ids))
+
+
+def by_title(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Records whose normalized title (title_exact) is wanted, with the columns of `wanted`."""
+    return records.join(wanted, "title_exact")
+
+
+def with_metadata(hits: DataFrame, records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """A bounded page of hits with columns that are read for these hits only."""
+    return records.select(key, *columns).join(hits, key)

@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrid.functions import strings
+from lexgrid.operators import postings
+from lexgrid.operators.postings import Index
+from lexgrid.runtime import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a table is too small for one split a core; larger ones stay as they are read."""
+    spark = rows.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * split else rows
+
+
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The postings of plain(); written once a session, when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        postings.write(plain(spark, sf_dir), ["title", "keywords", "body"], path, 16)
+        _INDEXES[key] = Index(spark, [path], 16)
+    return _INDEXES[key]
+
+
 def title_of(text: F.Column) -> F.Column:
     return F.substring(F.substring_index(text, "\n", 1), 1, 80)
 
@@ -35,7 +61,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents alone, all of them primary and of one weight."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("id"), "doc_id", title_of(F.col("text")).alias("title"), F.col("text").alias("body"), F.array("lang", "source").alias("keywords"), "lang", F.col("source").alias("dataset"), F.lit(True).alias("primary")
     )
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrid.functions import dates, markup, passages, strings, wikitext
-from lexgrid.operators import catalog, changelog, fusion, reading, redirects, search
+from lexgrid.operators import catalog, changelog, fusion, reading, redirects, references, search, tiered
 from lexgrid.plans import carriers as C
-from lexgrid.plans.carriers import REC, bm25, plain, records, table, tok
+from lexgrid.plans.carriers import REC, bm25, records, table, tok
 from lexgrid.runtime import ship
 from lexgrid.streaming import changelog as streamed
 
@@ -39,19 +39,18 @@ def scored(hits: DataFrame, *columns: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
 def token_stats(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", strings.tokens(F.col("text")).alias("t"))
+    t = C.spread(table(spark, sf_dir, "documents")).select("doc_id", strings.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tok('text')})) AS term FROM documents) GROUP BY term HAVING count(*) >= 5")
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tok('text')})) AS term FROM documents) GROUP BY term")
 def term_df(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(strings.tokens(F.col("text")))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 5")
+    return C.index(spark, sf_dir).all_rows().filter("field = 'body' and term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"SELECT doc_id, 'body' AS field, CAST(len({tok('text')}) AS INTEGER) AS field_len FROM documents UNION ALL SELECT doc_id, 'title', CAST(len({tok('split_part(text, chr(10), 1)')}) AS INTEGER) FROM documents")
 def doc_lengths(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = C.spread(table(spark, sf_dir, "documents"))
     fields = F.array(F.struct(F.lit("body").alias("field"), F.size(strings.tokens(F.col("text"))).alias("field_len")), F.struct(F.lit("title").alias("field"), F.size(strings.tokens(F.substring_index("text", "\n", 1))).alias("field_len")))
     return docs.select("doc_id", F.inline(fields))
 
@@ -59,16 +58,14 @@ def doc_lengths(spark, sf_dir):
 @query(f"SELECT count(*) AS n_docs, CAST(sum(len({tok('text')})) AS BIGINT) AS sum_len, round(avg(len({tok('text')})), 6) AS avg_len FROM documents")
 def corpus_stats(spark, sf_dir):
     n = F.size(strings.tokens(F.col("text")))
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"), F.sum(n).alias("sum_len"), F.round(F.avg(n), 6).alias("avg_len"))
+    return C.spread(table(spark, sf_dir, "documents")).agg(F.count("*").alias("n_docs"), F.sum(n).alias("sum_len"), F.round(F.avg(n), 6).alias("avg_len"))
 
 
 # one field by BM25
 
 
 def _one_field(spark, sf_dir, name: str, terms: list[str], k: int = 20) -> DataFrame:
-    t = search.with_tokens(plain(spark, sf_dir), [name])
-    score = search.bm25(name, terms, search.statistics(t, [name], terms))
-    hits = t.filter(search.some_term(name, terms)).select("id", score.alias("score"))
+    hits = C.index(spark, sf_dir).matches(terms, [name]).select("id", F.col(f"s_{name}").alias("score"))
     return scored(hits.orderBy(F.desc(F.round("score", 6)), "id").limit(k), "id")
 
 
@@ -105,9 +102,13 @@ c AS (SELECT rec.*, lower(trim(replace(title, '_', ' '))) = '{QUERY}' AS is_exac
 SELECT {columns} FROM c WHERE score > 0 AND {where} {('ORDER BY is_exact DESC, round(score, 6) DESC, id ' + tail) if tail else ''}"""
 
 
+def _hits(spark, sf_dir, q: search.Query) -> DataFrame:
+    return search.ranked(records(spark, sf_dir), q, TERMS, C.index(spark, sf_dir))
+
+
 def _ranked(spark, sf_dir, **options) -> DataFrame:
     q = search.Query(QUERY, **options)
-    return scored(search.page(search.ranked(records(spark, sf_dir), q, TERMS), q), "id", "is_exact")
+    return scored(search.page(_hits(spark, sf_dir, q), q), "id", "is_exact")
 
 
 @query(_ranked_sql("is_primary"))
@@ -137,19 +138,19 @@ def search_page_2(spark, sf_dir):
 
 @query(_ranked_sql("is_primary", tail="", columns="count(*) AS total"))
 def search_total_count(spark, sf_dir):
-    return search.ranked(records(spark, sf_dir), search.Query(QUERY), TERMS).agg(F.count("*").alias("total"))
+    return _hits(spark, sf_dir, search.Query(QUERY)).agg(F.count("*").alias("total"))
 
 
 @query(_ranked_sql("is_primary AND dataset IN ('src1', 'src2')", columns="id, dataset, round(score, 4) AS score"))
 def federated_search(spark, sf_dir):
     q = search.Query(QUERY, datasets=["src1", "src2"])
-    return scored(search.page(search.ranked(records(spark, sf_dir), q, TERMS), q), "id", "dataset")
+    return scored(search.page(_hits(spark, sf_dir, q), q), "id", "dataset")
 
 
 @query(_ranked_sql("is_primary AND dataset = 'src3'", columns="id, dataset, round(score, 4) AS score"))
 def single_dataset_search(spark, sf_dir):
     q = search.Query(QUERY, datasets=["src3"])
-    return scored(search.page(search.ranked(records(spark, sf_dir), q, TERMS), q), "id", "dataset")
+    return scored(search.page(_hits(spark, sf_dir, q), q), "id", "dataset")
 
 
 _GENERATION = "substr(sha256('testdata' || chr(31) || source || chr(31) || 'v1'), 1, 32)"
@@ -159,7 +160,7 @@ _GENERATION = "substr(sha256('testdata' || chr(31) || source || chr(31) || 'v1')
 def active_generation_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("generation", strings.generation_id(F.lit("testdata"), F.col("source"), F.lit("v1")))
     active = docs.select("source").distinct().filter(F.col("source").isin("src0", "src4", "src5")).select(strings.generation_id(F.lit("testdata"), F.col("source"), F.lit("v1")).alias("generation"))
-    return docs.join(active, "generation", "left_semi").groupBy("generation").agg(F.count("*").alias("documents"))
+    return changelog.of_generations(docs, active).groupBy("generation").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS identifier, CAST(30 AS DOUBLE) AS score FROM part WHERE regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') = 'brand12' ORDER BY CAST(p_partkey AS VARCHAR) LIMIT 50")
@@ -171,27 +172,56 @@ def ranked_query_identifier(spark, sf_dir):
 
 @query(f"WITH {REC}, {bm25('b', 'body', TERMS)} SELECT id, round(2 * s, 4) AS score FROM b WHERE hits = 3 ORDER BY round(s, 6) DESC, id LIMIT 20")
 def all_terms_conjunction(spark, sf_dir):
-    t = search.with_tokens(plain(spark, sf_dir), ["body"])
-    score = search.BOOSTS["all_terms"] * search.bm25("body", TERMS, search.statistics(t, ["body"], TERMS))
-    return scored(t.filter(search.all_terms("body", TERMS)).select("id", score.alias("score")).orderBy(F.desc(F.round(F.col("score") / 2, 6)), "id").limit(20), "id")
+    found = C.index(spark, sf_dir).matches(TERMS, ["body"]).filter(F.col("n_body") == len(TERMS))
+    return scored(found.select("id", (search.BOOSTS["all_terms"] * F.col("s_body")).alias("score")).orderBy(F.desc(F.round(F.col("score") / 2, 6)), "id").limit(20), "id")
 
 
 @query(f"""WITH {REC}, {bm25('t', 'title', TERMS)}, {bm25('b', 'body', TERMS)},
 h AS (SELECT id, count(DISTINCT term) AS n FROM (SELECT id, term FROM t_p UNION ALL SELECT id, term FROM b_p) GROUP BY id)
 SELECT id, round(3 * coalesce(t.s, 0) + coalesce(b.s, 0), 4) AS score FROM h LEFT JOIN t USING (id) LEFT JOIN b USING (id) WHERE n = 3""")
 def strict_recall(spark, sf_dir):
-    t = search.with_tokens(plain(spark, sf_dir), ["title", "body"])
-    s = search.statistics(t, ["title", "body"], TERMS)
-    every = F.lit(True)
-    for term in TERMS:
-        every = every & (F.array_contains("title_tokens", term) | F.array_contains("body_tokens", term))
-    return scored(t.filter(every).select("id", (3 * search.bm25("title", TERMS, s) + search.bm25("body", TERMS, s)).alias("score")), "id")
+    return scored(tiered.clause_scores(C.index(spark, sf_dir), TERMS).filter("recall is not null").select("id", F.col("recall").alias("score")), "id")
+
+
+_TIERS = f"""WITH {REC}, {bm25('t', 'title', TERMS)}, {bm25('b', 'body', TERMS)},
+h AS (SELECT id, count(DISTINCT term) AS n FROM (SELECT id, term FROM t_p UNION ALL SELECT id, term FROM b_p) GROUP BY id),
+f AS (SELECT t_t.id, len(list_filter(range(1, len(t_t.toks)), lambda i: t_t.toks[i:i + 2] = ['with', 'from', 'this'])) > 0 AS in_title,
+  len(list_filter(range(1, len(b_t.toks)), lambda i: b_t.toks[i:i + 2] = ['with', 'from', 'this'])) > 0 AS in_body FROM t_t JOIN b_t USING (id)),
+x AS (SELECT id, coalesce(t.s, 0) AS ts, coalesce(b.s, 0) AS bs, n, in_title, in_body FROM h LEFT JOIN t USING (id) LEFT JOIN b USING (id) JOIN f USING (id)),
+y AS (SELECT id, 4 * ts + bs + CASE WHEN n = 3 THEN 2 * (4 * ts + bs) ELSE 0 END + CASE WHEN in_title THEN 8 * ts ELSE 0 END + CASE WHEN in_body THEN 3 * bs ELSE 0 END AS ranked, CASE WHEN n = 3 THEN 3 * ts + bs END AS recall FROM x)"""
+
+
+@query(f"{_TIERS} SELECT id, round(ranked, 4) AS ranked, round(recall, 4) AS recall FROM y")
+def tiered_clauses(spark, sf_dir):
+    """Phrases, every term in title or body, and single terms, of the tiered ranker."""
+    return tiered.clause_scores(C.index(spark, sf_dir), TERMS).select("id", F.round("ranked", 4).alias("ranked"), F.round("recall", 4).alias("recall"))
+
+
+@query(f"""{_TIERS}, p AS (SELECT id, row_number() OVER (ORDER BY round(ranked, 6) DESC, id) AS rank FROM y WHERE ranked > 0 QUALIFY rank <= 250),
+r AS (SELECT id, row_number() OVER (ORDER BY round(recall, 6) DESC, id) AS rank FROM y WHERE recall > 0 QUALIFY rank <= 250),
+l AS (SELECT id, 0 AS tier, -rank::DOUBLE AS o FROM p WHERE rank <= 10),
+s AS (SELECT id, 1 AS tier, sum(1.0 / (60 + rank)) AS o FROM (SELECT id, rank FROM p UNION ALL SELECT id, rank FROM r) WHERE id NOT IN (SELECT id FROM l) GROUP BY id),
+u AS (SELECT id, CAST(row_number() OVER (ORDER BY tier, round(o, 9) DESC, id) AS INTEGER) AS rank FROM (SELECT * FROM l UNION ALL SELECT * FROM s))
+SELECT '0:' || id AS id, rank, round(CAST(1.0 AS DOUBLE) / (60 + rank), 9) AS score FROM u""")
+def tiered_fusion(spark, sf_dir):
+    """Both tiers of the tiered ranker, fused."""
+    return tiered.fused(C.index(spark, sf_dir), TERMS).select("id", "rank", F.round("score", 9).alias("score"))
+
+
+@query("""WITH e AS (SELECT lower(p_brand) AS src, min(lower(p_name)) AS dst FROM part GROUP BY 1),
+b AS (SELECT lower(p_name) AS t, min_by(p_name, (p_size % 2 <> 0, CAST(p_partkey AS VARCHAR))) AS title, min_by(CAST(p_partkey AS VARCHAR), (p_size % 2 <> 0, CAST(p_partkey AS VARCHAR))) AS key FROM part GROUP BY 1)
+SELECT src AS name, key, title, true AS redirected FROM e JOIN b ON dst = t UNION ALL SELECT t, key, title, false FROM b""")
+def canonical_titles(spark, sf_dir):
+    """The record that each title leads to, of its own or through a redirect."""
+    part = table(spark, sf_dir, "part")
+    titles = part.select(F.col("p_partkey").cast("string").alias("key"), strings.normalize_title(F.col("p_name")).alias("title_exact"), F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("primary"))
+    edges = part.groupBy(F.lower("p_brand").alias("src")).agg(F.min(F.lower("p_name")).alias("dst"))
+    return tiered.canonical(titles, edges.select(F.col("src").alias("name")).union(titles.select("title_exact")), edges)
 
 
 @query(f"SELECT doc_id, CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS INTEGER) AS n FROM (SELECT doc_id, {tok('text')} AS t FROM documents) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0")
 def phrase_match(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", strings.tokens(F.col("text")).alias("body_tokens"))
-    return t.select("doc_id", search.phrase_count("body", ["of", "the"]).alias("n")).filter("n > 0")
+    return C.index(spark, sf_dir).phrases(["of", "the"], ["body"]).select(F.col("id").cast("long").alias("doc_id"), "n")
 
 
 # dates
@@ -242,7 +272,7 @@ def search_date_precision(spark, sf_dir):
 # many queries at once, fusion
 
 
-@query(f"""WITH {REC}, q AS (SELECT item_id, unnest(list_distinct(list_slice({tok('text')}, 1, 3))) AS term FROM benchmark),
+@query(f"""WITH {REC}, q AS (SELECT item_id, unnest(list_distinct({tok('text')})) AS term FROM benchmark),
 t AS (SELECT id, {tok('body')} AS toks FROM rec), s AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM t),
 p AS (SELECT id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT id, unnest(toks) AS term, len(toks) AS l FROM t) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
 d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -250,19 +280,13 @@ x AS (SELECT item_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (
 r AS (SELECT item_id, id, sc, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(sc, 6) DESC, id) AS INTEGER) AS rank FROM x)
 SELECT item_id, rank, id, round(sc, 4) AS score FROM r WHERE rank <= 3""")
 def benchmark_batch_search(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.slice(strings.tokens(F.col("text")), 1, 3)).alias("terms"))
-    return scored(search.batch(plain(spark, sf_dir), asked, 3), "item_id", "rank", "id")
-
-
-@query(ORACLE_SQL["benchmark_batch_search"].replace(f"list_slice({tok('text')}, 1, 3)", tok("text")))
-def benchmark_batch_search_all(spark, sf_dir):
-    """All terms of each text are asked for; benchmark_batch_search is held to the first three by its SQL."""
+    """All terms of each text are asked for."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(strings.tokens(F.col("text"))).alias("terms"))
-    return scored(search.batch(plain(spark, sf_dir), asked, 3), "item_id", "rank", "id")
+    return scored(search.batch(C.index(spark, sf_dir), asked, 3), "item_id", "rank", "id")
 
 
 def _ranks(spark, sf_dir, column: str, k: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars"), F.size(strings.tokens(F.col("text"))).alias("words"))
+    docs = C.spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.length("text").alias("chars"), F.size(strings.tokens(F.col("text"))).alias("words"))
     best = docs.orderBy(F.desc(column), "id").limit(k)
     return best.select("id", F.row_number().over(Window.orderBy(F.desc(column), "id")).alias("rank"))
 
@@ -299,43 +323,24 @@ def tier_injection(spark, sf_dir):
     return fusion.inject(hits, one(3), one(5)).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_slice({tok('text')}, 1, 12) AS t FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id, {tok('text')} AS t FROM benchmark),
 n AS (SELECT item_id, t, len(t) AS n FROM q WHERE len(t) >= 3),
 w AS (SELECT item_id, t, n, unnest(range(greatest(2, (2 * n + 4) // 5), least(n - 1, 8) + 1)) AS w FROM n),
 g AS (SELECT item_id, t, w, unnest(range(1, n - w + 2)) AS i FROM w)
 SELECT item_id, CAST(w AS INTEGER) AS width, CAST(i AS INTEGER) AS at, array_to_string(t[i:i + w - 1], ' ') AS span FROM g""")
 def embedded_title_ngrams(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(strings.tokens(F.col("text")), 1, 12).alias("t"))
-    return q.select("item_id", F.inline(fusion.grams(F.col("t"))))
-
-
-@query(ORACLE_SQL["embedded_title_ngrams"].replace(f"list_slice({tok('text')}, 1, 12)", tok("text")))
-def embedded_title_ngrams_all(spark, sf_dir):
     """Spans of whole texts; over 20 tokens the shortest span allowed is longer than the longest, so there is none."""
     q = table(spark, sf_dir, "benchmark").select("item_id", strings.tokens(F.col("text")).alias("t"))
     return q.select("item_id", F.inline(fusion.grams(F.col("t"))))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_slice({tok('text')}, 1, 2))) AS t FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id, list_sort(list_distinct({tok('text')})) AS t FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct({tok('text')})) AS term FROM documents),
 m AS (SELECT item_id, doc_id FROM (SELECT item_id, len(t) AS n, unnest(t) AS term FROM q) JOIN d USING (term) GROUP BY item_id, doc_id, n HAVING count(*) = n),
 c AS (SELECT item_id, count(*) AS c FROM m GROUP BY item_id), n AS (SELECT count(*) AS docs FROM documents)
 SELECT item_id, coalesce(c, 0) AS matches, coalesce(c, 0) <= greatest(32, CASE WHEN len(t) = 2 THEN docs / 20000 ELSE docs / 1000 END) AS is_distinctive FROM q LEFT JOIN c USING (item_id), n""")
 def distinctive_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.slice(strings.tokens(F.col("text")), 1, 2)).alias("t"))
-    n = docs.count()
-    terms = asked.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(strings.tokens(F.col("text")))).alias("term"))
-    whole = held.join(terms, "term").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).filter("c = n")
-    counts = whole.groupBy("item_id").agg(F.count("*").alias("c"))
-    matches = F.coalesce("c", F.lit(0))
-    return asked.join(counts, "item_id", "left").select("item_id", matches.alias("matches"), fusion.distinctive(matches, F.lit(float(n)), F.size("t")).alias("is_distinctive"))
-
-
-@query(ORACLE_SQL["distinctive_terms"].replace(f"list_slice({tok('text')}, 1, 2)", tok("text")))
-def distinctive_terms_all(spark, sf_dir):
-    """All terms of each text; distinctive_terms is held to the first two by its SQL.
+    """All terms of each text.
 
     Only documents with an item's rarest term are looked at, so common terms make no pairs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(strings.tokens(F.col("text"))).alias("tokens"))
@@ -354,33 +359,25 @@ def distinctive_terms_all(spark, sf_dir):
 # lookups
 
 
-@query("""WITH w AS (SELECT lower(trim(replace(substr(split_part(text, chr(10), 1), 1, 80), '_', ' '))) AS t, min(doc_id) AS wanted FROM documents WHERE doc_id % 50 = 0 GROUP BY 1)
-SELECT wanted, doc_id FROM documents JOIN w ON lower(trim(replace(substr(split_part(text, chr(10), 1), 1, 80), '_', ' '))) = t""")
-def exact_title_lookup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(C.title_of(F.col("text"))).alias("title_exact"))
-    wanted = docs.filter("doc_id % 50 = 0").groupBy("title_exact").agg(F.min("doc_id").alias("wanted"))
-    return docs.join(wanted, "title_exact").select("wanted", "doc_id")
-
-
 @query("""WITH t AS (SELECT doc_id, lower(trim(replace(substr(split_part(text, chr(10), 1), 1, 80), '_', ' '))) AS t FROM documents), w AS (SELECT t, min(doc_id) AS wanted FROM t GROUP BY t)
 SELECT wanted, doc_id FROM t JOIN w USING (t)""")
-def exact_title_lookup_all(spark, sf_dir):
-    """Every title is asked for; exact_title_lookup is held to those its SQL names."""
+def exact_title_lookup(spark, sf_dir):
+    """Every title is asked for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(C.title_of(F.col("text"))).alias("title_exact"))
     wanted = docs.groupBy("title_exact").agg(F.min("doc_id").alias("wanted"))
-    return docs.join(wanted, "title_exact").select("wanted", "doc_id")
+    return search.by_title(docs, wanted).select("wanted", "doc_id")
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (1, 17, 42, 99)")
 def id_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(1, 17, 42, 99)).select("doc_id", "lang", "source", "n_chars")
+    return search.by_ids(table(spark, sf_dir, "documents"), [1, 17, 42, 99], "doc_id").select("doc_id", "lang", "source", "n_chars")
 
 
 @query("SELECT doc_id, lang, source, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
 def late_metadata_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     best = docs.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)
-    return docs.join(best.select("doc_id"), "doc_id").select("doc_id", "lang", "source", C.title_of(F.col("text")).alias("title"))
+    return search.with_metadata(best.select("doc_id"), docs, "doc_id", ["lang", "source", "text"]).select("doc_id", "lang", "source", C.title_of(F.col("text")).alias("title"))
 
 
 # redirects
@@ -388,15 +385,6 @@ def late_metadata_join(spark, sf_dir):
 _EDGES = "e AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events WHERE event_type <> 'error'), f AS (SELECT src, dst FROM e WHERE dst IS NOT NULL)"
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT src FROM f WHERE src % 97 = 0),
-r(id, target, hops) AS (SELECT src, src, 0 FROM s UNION ALL SELECT r.id, f.dst, r.hops + 1 FROM r JOIN f ON f.src = r.target WHERE r.hops < 8),
-l AS (SELECT id, max(hops) AS hops, arg_max(target, hops) AS target FROM r GROUP BY id)
-SELECT id, target, CAST(hops AS INTEGER) AS hops, hops = 8 AND target IN (SELECT src FROM f) AS exceeded FROM l""")
-def redirect_chain_8(spark, sf_dir):
-    edges = event_edges(spark, sf_dir)
-    return redirects.follow(edges.filter("src % 97 = 0").select(F.col("src").alias("id")), edges).select("id", "target", "hops", "exceeded")
-
-
 def event_edges(spark, sf_dir) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.col("event_id").alias("src"), F.lead("event_id").over(order).alias("dst")).filter("dst is not null")
@@ -405,8 +393,8 @@ def event_edges(spark, sf_dir) -> DataFrame:
 @query(f"""WITH RECURSIVE {_EDGES}, r(id, target, hops) AS (SELECT src, src, 0 FROM f UNION ALL SELECT r.id, f.dst, r.hops + 1 FROM r JOIN f ON f.src = r.target WHERE r.hops < 8),
 l AS (SELECT id, max(hops) AS hops, arg_max(target, hops) AS target FROM r GROUP BY id)
 SELECT id, target, CAST(hops AS INTEGER) AS hops, hops = 8 AND target IN (SELECT src FROM f) AS exceeded FROM l""")
-def redirect_chain_8_all(spark, sf_dir):
-    """The chains from every edge; redirect_chain_8 is held to the starts its SQL names."""
+def redirect_chain_8(spark, sf_dir):
+    """The chains from every edge."""
     edges = event_edges(spark, sf_dir)
     return redirects.follow(edges.select(F.col("src").alias("id")), edges).select("id", "target", "hops", "exceeded")
 
@@ -418,11 +406,6 @@ def redirect_canonical(spark, sf_dir):
     return docs.join(first, "key").select(F.col("doc_id").alias("id"), "canonical")
 
 
-@query("SELECT o_orderkey AS id, o_orderkey % 5 AS start, CAST(CASE WHEN o_orderkey % 5 < 3 THEN 2 ELSE 1 END AS INTEGER) AS hops, CASE WHEN o_orderkey % 5 < 3 THEN (o_orderkey % 5 + 2) % 3 ELSE CAST(9 AS BIGINT) END AS target, o_orderkey % 5 < 3 AS looped FROM orders WHERE o_orderkey % 10 < 5")
-def redirect_loop_guard(spark, sf_dir):
-    return _guarded(spark, table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 5"))
-
-
 def _guarded(spark, orders: DataFrame) -> DataFrame:
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 9), (4, 9)], "src long, dst long")
     keys = orders.select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 5).alias("start"))
@@ -431,8 +414,8 @@ def _guarded(spark, orders: DataFrame) -> DataFrame:
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 5 AS start, CAST(CASE WHEN o_orderkey % 5 < 3 THEN 2 ELSE 1 END AS INTEGER) AS hops, CASE WHEN o_orderkey % 5 < 3 THEN (o_orderkey % 5 + 2) % 3 ELSE CAST(9 AS BIGINT) END AS target, o_orderkey % 5 < 3 AS looped FROM orders")
-def redirect_loop_guard_all(spark, sf_dir):
-    """All orders; redirect_loop_guard is held to those its SQL names."""
+def redirect_loop_guard(spark, sf_dir):
+    """All orders."""
     return _guarded(spark, table(spark, sf_dir, "orders"))
 
 
@@ -465,7 +448,7 @@ def generation_doc_count(spark, sf_dir):
 def retired_cleanup(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("generation"))
     retired = events.select("generation").distinct().filter(F.col("generation").isin("click", "error"))
-    return events.join(retired, "generation", "left_anti").select("event_id", "generation")
+    return changelog.without_generations(events, retired).select("event_id", "generation")
 
 
 @query("""WITH b AS (SELECT source AS dataset, CAST(sum(octet_length(encode(split_part(text, chr(10), 1))) + octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY source)
@@ -494,14 +477,9 @@ def doc_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.doc_key(generation, F.col("doc_id").cast("string")).alias("doc_key"))
 
 
-@query("SELECT doc_id, lower(trim(replace(substr(text, 1, 60), '_', ' '))) AS title FROM documents")
-def normalize_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(F.substring("text", 1, 60)).alias("title"))
-
-
 @query("SELECT doc_id, lower(trim(replace(text, '_', ' '))) AS title FROM documents")
-def normalize_title_all(spark, sf_dir):
-    """Whole texts; normalize_title is held to their first 60 characters by its SQL."""
+def normalize_title(spark, sf_dir):
+    """Whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", strings.normalize_title(F.col("text")).alias("title"))
 
 
@@ -510,14 +488,9 @@ def normalize_identifier(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", strings.normalize_identifier(F.col("p_brand")).alias("identifier"), strings.looks_like_identifier(F.col("p_brand")).alias("looks"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM documents")
-def reference_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", strings.reference_title(F.substring("text", 1, 60)).alias("title"))
-
-
 @query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM documents")
-def reference_title_all(spark, sf_dir):
-    """Whole texts; reference_title is held to their first 60 characters by its SQL."""
+def reference_title(spark, sf_dir):
+    """Whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", strings.reference_title(F.col("text")).alias("title"))
 
 
@@ -547,10 +520,10 @@ def html_text(spark, sf_dir):
 
 
 @query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
-regexp_extract(url, '#(.*)$', 1) AS fragment, starts_with(lower(url), 'http') AS is_external FROM pages""")
+regexp_extract(url, '#(.*)$', 1) AS fragment, regexp_matches(lower(url), '^(https?:)?//') AS is_external FROM pages""")
 def url_parts(spark, sf_dir):
     part = lambda p: F.regexp_extract("url", p, 1)
-    return table(spark, sf_dir, "pages").select("page_id", part("^([a-z]+)://").alias("scheme"), part("^[a-z]+://([^/?#]*)").alias("host"), part("^[a-z]+://[^/?#]*([^?#]*)").alias("path"), part("#(.*)$").alias("fragment"), F.startswith(F.lower("url"), F.lit("http")).alias("is_external"))
+    return table(spark, sf_dir, "pages").select("page_id", part("^([a-z]+)://").alias("scheme"), part("^[a-z]+://([^/?#]*)").alias("host"), part("^[a-z]+://[^/?#]*([^?#]*)").alias("path"), part("#(.*)$").alias("fragment"), strings.is_external_url(F.col("url")).alias("is_external"))
 
 
 _TARGET = "regexp_extract(href, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1)"
@@ -564,7 +537,7 @@ def link_resolution(spark, sf_dir):
     path = F.regexp_extract("href", "^(?:[a-z]+://[^/?#]*)?([^?#]*)", 1).alias("path")
     links = pages.select("page_id", F.explode(reading.hrefs(F.col("html"))).alias("href")).select("page_id", path).filter("path <> ''").groupBy("page_id", "path").agg(F.count("*").alias("n"))
     known = pages.groupBy(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path")).agg(F.min("page_id").alias("target_id"))
-    return links.join(known, "path", "left").select("page_id", "path", "n", F.coalesce("target_id", F.lit(-1)).alias("target_id"))
+    return reading.resolved(links, known, "path", "target_id", -1).select("page_id", "path", "n", "target_id")
 
 
 @query(f"""WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS src, {_HREFS} AS dst FROM pages)
@@ -578,11 +551,15 @@ def relationship_edges(spark, sf_dir):
 # reading
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, role AS heading, substr(text, 1, 40) AS start FROM conversations QUALIFY place <= 200")
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS level, role || ' ' || CAST(turn AS VARCHAR) AS heading,
+count(*) OVER (PARTITION BY conv_id) > 200 AS truncated FROM conversations QUALIFY place <= 200""")
 def section_outline(spark, sf_dir):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= reading.MOST_HEADINGS)
-    return turns.select("conv_id", "place", F.col("role").alias("heading"), F.substring("text", 1, 40).alias("start"))
+    """Conversations as Markdown, a heading for each turn; its text stands in a code fence, so that only those are headings."""
+    level = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("```"), F.lit("~~~"))
+    part = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n```\n"), body, F.lit("\n```\n"))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("turn"), part.alias("p")))), lambda x: x["p"]), "").alias("text"))
+    return reading.outline(whole, "conv_id", "text").select("conv_id", "place", "level", "heading", "truncated")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS level FROM conversations),
@@ -602,19 +579,13 @@ def page_slices(spark, sf_dir):
     return cut.select("doc_id", "offset", "returned", "total", "truncated", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("""WITH p AS (SELECT doc_id, length(text) AS n, substr(text, 1, 1000) AS piece FROM documents), b AS (SELECT *, strpos(reverse(piece), chr(10)) AS back FROM p)
-SELECT doc_id, CAST(CASE WHEN n > 1000 AND back > 0 AND 1001 - back > 500 THEN 1001 - back ELSE least(1000, n) END AS INTEGER) AS "end" FROM b""")
-def slice_alignment(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", reading.aligned_end(F.col("text"), F.lit(0), F.lit(1000)).cast("int").alias("end"))
-
-
 @query("""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 r(doc_id, text, "offset", "end") AS (SELECT doc_id, text, -1, 0 FROM t UNION ALL
   SELECT doc_id, text, o, CASE WHEN length(text) > o + 1000 AND back > 0 AND 1001 - back > 500 THEN o + 1001 - back ELSE least(o + 1000, length(text)) END
   FROM (SELECT doc_id, text, "end" AS o, strpos(reverse(substr(text, "end" + 1, 1000)), chr(10)) AS back FROM r WHERE "end" < length(text) OR "offset" < 0))
 SELECT doc_id, CAST("offset" AS INTEGER) AS "offset", CAST("end" AS INTEGER) AS "end" FROM r WHERE "offset" >= 0""")
-def slice_alignment_all(spark, sf_dir):
-    """Every page of each text, one beginning where the one before it ends; slice_alignment is held to the first by its SQL."""
+def slice_alignment(spark, sf_dir):
+    """Every page of each text, one beginning where the one before it ends."""
     return reading.aligned_pages(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 1000).select("doc_id", "offset", "end")
 
 
@@ -662,7 +633,7 @@ def catalog_collisions(spark, sf_dir):
 
 @query(f"SELECT s_suppkey, s_name FROM ({_SUPPLIERS}) ORDER BY r_name, s_suppkey LIMIT 20 OFFSET 10")
 def catalog_page(spark, sf_dir):
-    return suppliers(spark, sf_dir).orderBy("r_name", "s_suppkey").offset(10).limit(20).select("s_suppkey", "s_name")
+    return catalog.page(suppliers(spark, sf_dir), ["r_name", "s_suppkey"], 10, 20).select("s_suppkey", "s_name")
 
 
 @query("SELECT p_brand AS dataset, min(p_type) AS primary_variant, count(DISTINCT p_type) AS n_variants, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS variant_list FROM part GROUP BY p_brand")
@@ -746,9 +717,8 @@ def job_order(spark, sf_dir):
 @query("""SELECT user_id, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failures, arg_max(event_type, (ts, event_id)) AS last_event,
 CAST(count(*) - count(*) FILTER (event_type IN ('error', 'purchase')) AS BIGINT) AS steps FROM events GROUP BY user_id""")
 def job_state_fold(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    ended = F.col("event_type").isin("error", "purchase")
-    return events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"), (F.count("*") - F.count_if(ended)).alias("steps"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return catalog.folded_jobs(events, "user_id", ["ts", "event_id"], "event_type", "error", ["error", "purchase"]).select("user_id", "failures", F.col("last").alias("last_event"), "steps")
 
 
 @query("""WITH h AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events)
@@ -779,16 +749,13 @@ def stream_offsets(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) + INTERVAL 7 DAY AS expires_at, max(ts) + INTERVAL 7 DAY > TIMESTAMP '2024-02-05 00:00:00' AS live FROM events GROUP BY user_id")
 def refs_expiry(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.max("ts") + F.expr("interval 7 days")).alias("expires_at")).withColumn("live", F.col("expires_at") > F.lit("2024-02-05 00:00:00").cast("timestamp"))
+    return references.expiry(table(spark, sf_dir, "events"), "user_id", "ts", "2024-02-05 00:00:00")
 
 
 @query("""WITH l AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
 SELECT user_id, CAST(count(*) FILTER (before IS NULL OR ts >= before + INTERVAL 1 DAY) AS BIGINT) AS minted, CAST(count(*) FILTER (before IS NOT NULL AND ts < before + INTERVAL 1 DAY) AS BIGINT) AS reused FROM l GROUP BY user_id""")
 def refs_reuse(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = table(spark, sf_dir, "events").select("user_id", "ts", F.lag("ts").over(order).alias("before"))
-    fresh = F.col("before").isNull() | (F.col("ts") >= F.col("before") + F.expr("interval 1 day"))
-    return gap.groupBy("user_id").agg(F.count_if(fresh).alias("minted"), F.count_if(~fresh).alias("reused"))
+    return references.usage(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "ts", "interval 1 day")
 
 
 # dates and identifiers of providers

@@ -29,34 +29,30 @@ def wiki_name_predicate(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_custkey % 4 = 0")
 def namespace_zero(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("namespace", (F.col("o_custkey") % 4).cast("int"))
-    return rows.filter("namespace = 0").select("o_orderkey", "o_orderpriority")
+    return search.in_namespaces(rows, [0]).select("o_orderkey", "o_orderpriority")
 
 
 @query("SELECT p_partkey AS id, p_name AS name, p_type AS kind FROM part")
 def catalog_projection(spark, sf_dir):
     """What callers see of the catalog: without brand, size and price."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("fingerprint"), (F.col("p_size") > 10).alias("closed"))
+    return catalog.public(rows)
 
 
 @query("SELECT o_orderkey, CAST(TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE CAST(o_orderdate AS VARCHAR) END AS TIMESTAMP) AS TIMESTAMP) AS published_at FROM orders")
 def temporal_projection(spark, sf_dir):
     text = F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.col("o_orderdate").cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.try_cast("timestamp_ntz").alias("published_at"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.or_null(text).cast("timestamp_ntz").alias("published_at"))
 
 
 # sizes, urls, links
 
 
-@query("SELECT doc_id, CASE WHEN b >= 1048576 THEN CAST(round(b / 1048576, 1) AS VARCHAR) || ' MiB' WHEN b >= 1024 THEN CAST(round(b / 1024, 1) AS VARCHAR) || ' KiB' ELSE CAST(b AS VARCHAR) || ' B' END AS size FROM (SELECT doc_id, n_chars * 97 AS b FROM documents WHERE n_chars < 10000)")
-def human_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("n_chars < 10000").select("doc_id", strings.human_bytes(F.col("n_chars") * 97).alias("size"))
-
-
 @query(
     "SELECT doc_id, CASE WHEN b >= 1125899906842624 THEN CAST(round(b / 1125899906842624, 1) AS VARCHAR) || ' PiB' WHEN b >= 1099511627776 THEN CAST(round(b / 1099511627776, 1) AS VARCHAR) || ' TiB' WHEN b >= 1073741824 THEN CAST(round(b / 1073741824, 1) AS VARCHAR) || ' GiB' WHEN b >= 1048576 THEN CAST(round(b / 1048576, 1) AS VARCHAR) || ' MiB' WHEN b >= 1024 THEN CAST(round(b / 1024, 1) AS VARCHAR) || ' KiB' ELSE CAST(b AS VARCHAR) || ' B' END AS size FROM (SELECT doc_id, n_chars * 97 AS b FROM documents)"
 )
-def human_sizes_all(spark, sf_dir):
-    """Sizes of every document, null ones as null; human_sizes is held to the documents its SQL names."""
+def human_sizes(spark, sf_dir):
+    """Sizes of every document, null ones as null."""
     return table(spark, sf_dir, "documents").select("doc_id", strings.human_bytes(F.col("n_chars") * 97).alias("size"))
 
 
@@ -141,7 +137,7 @@ def listing_months(spark, sf_dir):
 def publication_priority(spark, sf_dir):
     """The date with the highest priority; of equal ones the later entry."""
     priority = F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "R", 2).otherwise(1)
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_shipdate", F.struct(priority, F.col("l_linenumber"), F.col("l_shipdate"))).alias("published_at"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(dates.by_priority(F.col("l_shipdate"), priority, F.col("l_linenumber")).alias("published_at"))
 
 
 # aggregations, windows and sets
@@ -149,19 +145,20 @@ def publication_priority(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS release, count(*) AS parts, CAST(sum(o_custkey) AS BIGINT) AS bytes, max(o_orderdate) AS updated_at FROM orders GROUP BY o_orderpriority")
 def release_totals(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("release")).agg(F.count("*").alias("parts"), F.sum("o_custkey").alias("bytes"), F.max("o_orderdate").alias("updated_at"))
+    parts = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("release"), F.col("o_custkey").alias("size"), F.col("o_orderdate").alias("updated_at"))
+    return catalog.release_totals(parts, "release", "size", "updated_at")
 
 
-@query("SELECT l_suppkey AS stream, count(DISTINCT l_partkey) AS wanted, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS ids FROM lineitem WHERE l_quantity > 40 GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS stream, count(DISTINCT l_partkey) AS wanted, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS ids FROM lineitem GROUP BY l_suppkey")
 def wanted_by_stream(spark, sf_dir):
-    wanted = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_suppkey").alias("stream"), F.col("l_partkey").cast("string").alias("id"))
-    ids = F.sort_array(F.collect_set("id"))
-    return wanted.groupBy("stream").agg(F.size(ids).cast("long").alias("wanted"), F.array_join(ids, ",").alias("ids"))
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stream"), F.col("l_partkey").cast("string").alias("id"))
+    return catalog.wanted_ids(wanted, "stream", "id").select("stream", "wanted", F.array_join("ids", ",").alias("ids"))
 
 
 @query("SELECT event_type AS provider, arg_max(value, (ts, event_id)) >= 50 AS healthy, max(ts) AS checked_at FROM events GROUP BY event_type")
 def provider_status(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("provider")).agg((F.max_by("value", F.struct("ts", "event_id")) >= 50).alias("healthy"), F.max("ts").alias("checked_at"))
+    checks = table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), "ts", "event_id", (F.col("value") >= 50).alias("healthy"))
+    return catalog.provider_status(checks, "provider", ["ts", "event_id"], "healthy").select("provider", "healthy", F.col("ts").alias("checked_at"))
 
 
 @query("SELECT user_id AS dataset, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -169,9 +166,9 @@ def latest_failed_job(spark, sf_dir):
     return catalog.latest_job(table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("dataset"), "ts", "event_id"), "dataset", ["ts", "event_id"]).select("dataset", "event_id")
 
 
-@query("SELECT p_name AS name, arg_min(p_type, (p_size, p_type)) AS url FROM part WHERE starts_with(p_type, 'S') GROUP BY p_name")
+@query("SELECT p_name AS name, arg_min(p_type, (p_size, p_type)) AS url FROM part GROUP BY p_name")
 def mirror_choice(spark, sf_dir):
-    links = table(spark, sf_dir, "part").filter(F.startswith("p_type", F.lit("S"))).select(F.col("p_name").alias("name"), F.concat(F.lit("https://"), F.col("p_type")).alias("url"), F.col("p_size").alias("priority"))
+    links = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("https://"), F.col("p_type")).alias("url"), F.col("p_size").alias("priority"))
     return listings.mirror(links).select("name", F.substring("url", 9, 200).alias("url"))
 
 
@@ -190,19 +187,19 @@ def ordered_parts(spark, sf_dir):
 @query("SELECT 'a' AS provider, n_name AS id FROM nation UNION ALL SELECT 'b', r_name FROM region")
 def catalog_union(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select(F.lit("a").alias("provider"), F.col("n_name").alias("id"))
-    return nations.unionByName(table(spark, sf_dir, "region").select(F.lit("b").alias("provider"), F.col("r_name").alias("id")), allowMissingColumns=True)
+    return catalog.together([nations, table(spark, sf_dir, "region").select(F.lit("b").alias("provider"), F.col("r_name").alias("id"))])
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'a,b' ELSE 'a,b,' || lower(n_name) END AS added, 'b' AS removed FROM nation")
 def retired_list(spark, sf_dir):
     """A set of retired generations, with one added and one removed."""
     held, new = F.array(F.lit("a"), F.lit("b")), F.when(F.col("n_regionkey") == 0, "a").otherwise(F.lower("n_name"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.array_union(held, F.array(new)), ",").alias("added"), F.array_join(F.array_remove(held, "a"), ",").alias("removed"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(changelog.retired(held, new), ",").alias("added"), F.array_join(changelog.unretired(held, F.lit("a")), ",").alias("removed"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'search,read' WHEN c_acctbal > 0 THEN 'read' ELSE '' END AS capabilities FROM customer")
 def local_summary(spark, sf_dir):
-    has = F.array_compact(F.array(F.when(F.col("c_acctbal") > 5000, "search"), F.when(F.col("c_acctbal") > 0, "read")))
+    has = catalog.capabilities(F.col("c_acctbal") > 5000, F.col("c_acctbal") > 0)
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array_join(has, ",").alias("capabilities"))
 
 
@@ -215,12 +212,11 @@ def catalog_validation(spark, sf_dir):
     return catalog.invalid(rows).groupBy("reason").agg(F.count("*").alias("rows"))
 
 
-@query("WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents) SELECT doc_id, n_chars FROM r WHERE n <= 110 AND n > 100")
+@query("SELECT id, score FROM (SELECT CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS DOUBLE) AS score, row_number() OVER (ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) AS n FROM documents) WHERE n <= 110 AND n > 100")
 def candidate_window(spark, sf_dir):
     """A page is cut from the bounded window of the best candidates."""
-    window = search.candidate_window(100, 10)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return docs.orderBy(F.desc("n_chars"), "doc_id").limit(window).orderBy(F.desc("n_chars"), "doc_id").offset(100).limit(10)
+    hits = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score"), F.lit(False).alias("is_exact"))
+    return search.page(hits, search.Query("any", offset=100, limit=10)).select("id", "score")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 0 ELSE value END AS score FROM events")

@@ -12,7 +12,8 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -47,6 +48,19 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """rows with their number from 1 in an order of the whole table. The order is dealt out by ranges and written; numbers are places in
+    a range plus the sizes of the ranges before it, so no task sees all rows. Only the sizes come to the driver."""
+    sorted_rows = materialise(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ordered")
+    sizes = {r["_range"]: r["count"] for r in sorted_rows.groupBy("_range").count().collect()}
+    before, offsets = 0, []
+    for k in sorted(sizes):
+        offsets += [F.lit(k), F.lit(before)]
+        before += sizes[k]
+    offset = F.element_at(F.create_map(*offsets), F.col("_range")) if offsets else F.lit(0)
+    return sorted_rows.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + offset).drop("_range")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers started elsewhere can import it."""
     app = spark.sparkContext.applicationId

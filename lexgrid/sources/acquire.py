@@ -1,10 +1,16 @@
-"""Acquisition of files: resumable, hash-checked downloads with retries, and reuse of files that have not changed."""
+"""Acquisition of files: resumable, hash-checked downloads with retries, and reuse of files that have not changed.
+
+A download that is under way is two files: `.part` with bytes at their places, and `.ranges`, a JSON list of the ranges
+that stand there in full. Only what is listed counts; the size of `.part` says nothing, as ranges end in any order.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import shutil
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -80,27 +86,101 @@ def _retried(job: Callable[[], int], sleep: Callable[[float], None]) -> int:
     raise AssertionError
 
 
-def download(part: Part, target: str, sleep: Callable[[float], None] = time.sleep, parallel_from: int = PARALLEL_FROM) -> None:
-    """Fetch a part to target. What an earlier call left in target + '.part' is continued; a wrong digest is an error."""
+class Progress:
+    """The finished ranges of a download, merged and kept beside it; written before anyone may rely on them."""
+
+    def __init__(self, path: str, part: Part) -> None:
+        self.path, self.lock = path, threading.Lock()
+        self.mark = {"url": part.url, "size": part.size, "digest": part.digest}
+        self.done: list[list[int]] = []
+        if os.path.exists(path):
+            with open(path) as f:
+                held = json.load(f)
+            # another release under the same name starts over
+            if {k: held[k] for k in self.mark} == self.mark:
+                self.done = held["done"]
+        elif part.digest and os.path.exists(path.removesuffix(".ranges") + ".part"):
+            # written in order by something else; the digest will tell
+            self.done = [[0, os.path.getsize(path.removesuffix(".ranges") + ".part")]]
+        self.save()
+
+    def add(self, first: int, end: int) -> None:
+        with self.lock:
+            merged: list[list[int]] = []
+            for a, b in sorted([*self.done, [first, end]]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            self.done = merged
+            self.save()
+
+    def save(self) -> None:
+        with open(f"{self.path}.tmp", "w") as f:
+            json.dump(self.mark | {"done": self.done}, f)
+        os.replace(f"{self.path}.tmp", self.path)
+
+    def missing(self, size: int) -> list[tuple[int, int]]:
+        """(first, end) of what is not there yet."""
+        out, at = [], 0
+        for a, b in [*self.done, [size, size]]:
+            if a > at:
+                out.append((at, a))
+            at = max(at, b)
+        return out
+
+
+def download(part: Part, target: str, sleep: Callable[[float], None] = time.sleep, parallel_from: int = PARALLEL_FROM, connections: int = CONNECTIONS) -> None:
+    """Fetch a part to target, going on with what an earlier call finished. A wrong size or digest is an error."""
     held = f"{target}.part"
-    have = os.path.getsize(held) if os.path.exists(held) else 0
-    with open(held, "r+b" if have else "w+b") as f:
+    progress = Progress(f"{target}.ranges", part)
+    with open(held, "r+b" if os.path.exists(held) else "w+b") as f:
 
         def write(at: int, block: bytes) -> None:
             os.pwrite(f.fileno(), block, at)
 
-        if part.size >= parallel_from and not have:
-            step = -(-part.size // CONNECTIONS)
-            ranges = [(a, min(part.size, a + step) - 1) for a in range(0, part.size, step)]
-            with ThreadPoolExecutor(CONNECTIONS) as pool:
-                for done in [pool.submit(_retried, lambda a=a, b=b: _fetch(part.url, a, b, write), sleep) for a, b in ranges]:
+        def whole() -> int:
+            end = _fetch(part.url, 0, None, write)
+            progress.add(0, end)
+            return end
+
+        def ranged(first: int, end: int) -> int:
+            """One range, noted block by block. A server that ignores ranges has sent everything from 0 on."""
+            at = first
+
+            def block(place: int, data: bytes) -> None:
+                nonlocal at
+                write(place, data)
+                os.fsync(f.fileno())
+                progress.add(place, place + len(data))
+                at = place + len(data)
+
+            while at < end:
+                before = at
+                _fetch(part.url, at, end - 1 if end < part.size else None, block)
+                if at == before:
+                    raise ConnectionError(f"{part.name}: the server sent nothing from {at} on")
+            return at
+
+        if part.size:
+            gaps = progress.missing(part.size)
+            if part.size >= parallel_from:
+                step = -(-part.size // connections)
+                gaps = [(x, min(b, x + step)) for a, b in gaps for x in range(a, b, step)]
+            with ThreadPoolExecutor(connections if len(gaps) > 1 else 1) as pool:
+                for done in [pool.submit(_retried, lambda a=a, b=b: ranged(max([a, *(y for x, y in progress.done if x <= a < y)]), b), sleep) for a, b in gaps]:
                     done.result()
-        elif not part.size or have < part.size:
-            f.truncate(_retried(lambda: _fetch(part.url, os.fstat(f.fileno()).st_size, None, write), sleep))
-    if not valid(held, part):
-        os.remove(held)
+            f.truncate(part.size)
+        else:
+            f.truncate(_retried(whole, sleep))
+    if part.size and progress.missing(part.size) or not valid(held, part):
+        for path in (held, progress.path):
+            if os.path.exists(path):
+                os.remove(path)
         raise ValueError(f"{part.name} is not what its size or digest says")
     os.replace(held, target)
+    if os.path.exists(progress.path):
+        os.remove(progress.path)
 
 
 def acquire(parts: Iterable[Part], stage: str, previous: str | None = None, sleep: Callable[[float], None] = time.sleep) -> tuple[list[str], list[str]]:

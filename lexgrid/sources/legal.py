@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -29,6 +30,28 @@ def catalog_pages(fetch: Callable[[str, int], list[dict]], size: int = PAGE) ->
             return
 
 
+def query_text(language: str, after: str, size: int) -> str:
+    """The question for one page: acts in force with an expression in a language, by key."""
+    return f"""PREFIX cdm: <http://publications.europa.eu/ontology/cdm#>
+SELECT DISTINCT ?celex ?expression ?format ?title ?date WHERE {{
+  ?work cdm:resource_legal_id_celex ?celex ; cdm:resource_legal_in-force true .
+  OPTIONAL {{ ?work cdm:work_date_document ?date }}
+  ?expression cdm:expression_belongs_to_work ?work ; cdm:expression_uses_language ?language ; cdm:expression_title ?title .
+  ?manifestation cdm:manifestation_manifests_expression ?expression ; cdm:manifestation_type ?format .
+  FILTER(?language = <http://publications.europa.eu/resource/authority/language/{language.upper()}>)
+  FILTER(STR(?celex) > "{after}")
+}} ORDER BY ?celex LIMIT {size}"""
+
+
+def query_url(base: str, language: str, after: str, size: int) -> str:
+    return f"{base}?{urllib.parse.urlencode({'query': query_text(language, after, size), 'format': 'application/sparql-results+json'})}"
+
+
+def bindings(answer: dict) -> list[dict]:
+    """Rows of an answer; fields without a value are empty."""
+    return [{k: row.get(k, {}).get("value", "") for k in ("celex", "expression", "format", "title", "date")} for row in answer["results"]["bindings"]]
+
+
 def one_expression(rows: DataFrame) -> DataFrame:
     """One row for each act: XHTML before other formats, then the smallest expression."""
     order = Window.partitionBy("celex").orderBy(F.when(F.lower("format") == "xhtml", 0).otherwise(1), "expression")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.functions import strings
+from lexgrid.runtime import numbered
 
 #: Three-letter to two-letter language codes, with names.
 LANGUAGES = {"eng": ("en", "English"), "fra": ("fr", "French"), "deu": ("de", "German"), "spa": ("es", "Spanish"), "ita": ("it", "Italian"), "por": ("pt", "Portuguese"), "nld": ("nl", "Dutch"), "dan": ("da", "Danish"), "swe": ("sv", "Swedish"), "pol": ("pl", "Polish")}
@@ -31,9 +32,7 @@ def checksums(lines: DataFrame, column: str = "value") -> DataFrame:
 def ordered_parts(baseline: DataFrame, updates: DataFrame) -> DataFrame:
     """Both lists with a part number: the baseline first, each by name."""
     both = baseline.withColumn("stage", F.lit(0)).unionByName(updates.withColumn("stage", F.lit(1)))
-    from pyspark.sql import Window
-
-    return both.withColumn("part", F.row_number().over(Window.orderBy("stage", "name")) - 1).drop("stage")
+    return numbered(both, [F.col("stage").asc(), F.col("name").asc()], "_n").withColumn("part", F.col("_n") - 1).drop("stage", "_n")
 
 
 def mirror(links: DataFrame) -> DataFrame:

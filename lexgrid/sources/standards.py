@@ -29,7 +29,7 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """id and content of the files rfcN.txt at a path."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.regexp_extract(F.input_file_name(), r"rfc0*([0-9]+)\.txt$", 1).alias("id"), F.col("value").alias("content"))
 
 

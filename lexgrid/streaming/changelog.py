@@ -14,16 +14,42 @@ from lexgrid.runtime import shared_dir
 class StateTable:
     """The last event of every key, as versions of a Parquet table; a version is complete before it is current.
 
-    A batch that is replayed after a failure meets state that already holds it, and the last event still wins."""
+    A finished version holds a file that names its batch; the version of the latest batch is the current one, also after
+    a restart with the same folder. A batch that is replayed after a failure meets state that already holds it, and the last event
+    still wins. Versions before the one before the current are deleted."""
+
+    MARK = "_CURRENT"
 
     def __init__(self, spark: SparkSession, root: str, key: str, order: list[str]) -> None:
-        self.spark, self.root, self.key, self.order, self.current = spark, root.rstrip("/"), key, order, None
+        self.spark, self.root, self.key, self.order = spark, root.rstrip("/"), key, order
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[tuple[int, int, str]]:
+        """(batch, time, folder) of the finished versions, oldest first."""
+        if not self.files.exists(self.path):
+            return []
+        out = []
+        for s in self.files.listStatus(self.path):
+            mark = self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), self.MARK)
+            if self.files.exists(mark):
+                batch = int(s.getPath().getName().removeprefix("version=").partition("-")[0])
+                out.append((batch, self.files.getFileStatus(mark).getModificationTime(), f"{self.root}/{s.getPath().getName()}"))
+        return sorted(out)
+
+    @property
+    def current(self) -> str | None:
+        found = self.versions()
+        return found[-1][2] if found else None
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch if self.current is None else batch.unionByName(self.spark.read.parquet(self.current))
+        current = self.current
+        rows = batch if current is None else batch.unionByName(self.spark.read.schema(batch.schema).parquet(current))
         target = f"{self.root}/version={batch_id}-{uuid.uuid4().hex}"
         compact_rows(rows, self.key, self.order, F.lit(False)).write.parquet(target)
-        self.current = target
+        self.files.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{self.MARK}")).close()
+        for _, _, old in self.versions()[:-2]:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
     def rows(self, deleted: str) -> DataFrame:
         return self.spark.read.parquet(self.current).filter(~F.coalesce(F.expr(deleted), F.lit(False)))
