@@ -96,6 +96,19 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS n FROM embeddings),
+g AS (
+  SELECT n, vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.n AS a, b.n AS b FROM g a JOIN g b ON a.n <> b.n WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS n, min(vec_id) AS component FROM r JOIN v ON v.n = r.b GROUP BY a),
+k AS (SELECT a AS n, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(least(component, vec_id), vec_id) AS component_id, coalesce(coalesce(least(component, vec_id), vec_id) = vec_id, true) AS kept
+FROM v LEFT JOIN c USING (n) LEFT JOIN k USING (n)
+"""
+
 _RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 OP7_SQL = f"""
 WITH rules(h, p, a) AS (VALUES {_RULES}),
@@ -135,4 +148,4 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) A
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10_SQL, "op8_substring_dedup": OP8_SQL, "op1_topk_threshold": OP1_SQL, "op7_url_cascade": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10_SQL, "op8_substring_dedup": OP8_SQL, "op1_topk_threshold": OP1_SQL, "op4_near_vectors": OP4_SQL, "op7_url_cascade": OP7_SQL}

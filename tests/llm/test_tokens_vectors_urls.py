@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -112,6 +113,22 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_query_of_packing_equals_the_tokenizer_file(spark):
+    """start, length and ids_crc32 of each piece, from the library's own ids; null, empty and very long texts among them."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice([*ALPHABET, "<|endoftext|>", " word"]) for _ in range(rng.choice([0, 9, 300])))) for i in range(40)]
+    rows += [(90, None), (91, "long text, " * 9000), (92, "x" * 30_000)]
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packing.pack_documents(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, shard string")).collect()}
+    want = {}
+    for i, text in rows:
+        ids = tokenizer_file().encode(text or "", add_special_tokens=False).ids + [0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[i, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert got == want
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
@@ -139,6 +156,53 @@ def test_search_equals_brute_force(spark, scale):
     assert topk.search(topk.quantised(frame.limit(0)), F.lit(True)).count() == 0
 
 
+def test_reading_stops_at_the_bound():
+    """Where a few components hold most of a product, most candidates are never scored; what is found is the same."""
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(4000, 16)) * np.array([4000, 800] + [3] * 14)).astype(np.int64)
+    ids, lists = np.arange(4000), topk.Lists(np.arange(4000), x)
+    for q in x[:20]:
+        best, scores = lists.top(-1, q, 5)
+        want = sorted(zip((-(x @ q)).tolist(), ids.tolist(), strict=True))[:5]
+        assert sorted(zip((-scores).tolist(), best.tolist(), strict=True)) == want
+    scored, lists.scored = lists.scored, 0
+    assert scored < 20 * 4000 / 4
+    for q in x[:20]:
+        best, scores = lists.top(-1, q, 5, floor=int(np.sort(x @ q)[-3]))
+        want = sorted(zip((-(x @ q)).tolist(), ids.tolist(), strict=True))[:3]
+        assert sorted(zip((-scores).tolist(), best.tolist(), strict=True))[:3] == want
+    assert lists.scored <= scored
+    # without such components the bound falls late, and nearly all are scored
+    y = np.floor(rng.normal(size=(1000, 16)) * 64).astype(np.int64)
+    flat = topk.Lists(np.arange(1000), y)
+    flat.top(-1, y[0], 5)
+    assert flat.scored > 900
+
+
+def test_search_ignores_clashing_columns(spark):
+    rows = [(i, [float(i % 5), 1.0], i, "x", "y", 3) for i in range(12)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int, block string, asks string, floor int")
+    plain = frame.select("vec_id", "embedding")
+    search = lambda f: sorted(map(tuple, topk.search(topk.quantised(f), F.col("vec_id") % 4 == 0, 3, 5, 2).collect()))
+    assert search(frame) == search(plain)
+    clash = frame.withColumnsRenamed({"v": "key", "block": "copies", "asks": "rep"}).withColumn("v", F.lit(1))
+    assert sorted(map(tuple, vectors.near_duplicates(clash).collect())) == sorted(map(tuple, vectors.near_duplicates(plain).collect()))
+
+
+def test_vectors_at_the_ends_of_the_range(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [0.0, 1e300]), (5, [5e-324, 0.0]), (6, [1e308, -1e308])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+def test_pairs_are_gathered_in_chunks():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 40)) * 0.1 + rng.integers(0, 2, (60, 1))
+    r = vectors.unit(x).astype(np.float32)
+    pairs = [{(int(a), int(b)) for u, v in vectors.linked(x, x, r, r, 0.9, size) for a, b in zip(u, v, strict=True)} for size in (1, 4096, 64 << 20)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 60
+
+
 @pytest.mark.parametrize("block", [8192, 16])
 def test_near_vectors_equal_brute_force(spark, block):
     rng = random.Random(9)
@@ -180,7 +244,7 @@ def judged(url):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
-@pytest.mark.parametrize("bits", [urls.MOST_BITS, 1])
+@pytest.mark.parametrize("bits", [urls.MOST_BITS, 48])
 def test_url_rules_equal_brute_force(spark, bits):
     hosts = [f"http://h{i}.{d}/{p}/{i}" for i in range(150) for d, p in (("com", "en"), ("net", "de"), ("example.net", "de"), ("dev", "en"))]
     rows = [(i, u, "x") for i, u in enumerate(URLS + hosts)] + [(1, URLS[3], "x"), (1, URLS[3], "x")]
@@ -196,7 +260,8 @@ def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(20_000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 97 == 0).alias("listed"))
     levels = urls.cascade(universe, 207, 20_000 - 207)
     assert len(levels) > 1
-    assert universe.filter(urls.member(F.col("key"), levels) != F.col("listed")).count() == 0
+    assert universe.filter((F.size(urls.listed_among(F.array("key"), levels)) == 1) != F.col("listed")).count() == 0
+    assert urls.listed_among(F.array(F.lit("a")), [])._jc.toString() and spark.range(1).select(F.size(urls.listed_among(F.array(F.lit("a")), []))).first()[0] == 0
 
 
 def test_digests_of_the_query(spark):
