@@ -3,6 +3,11 @@
 Quality and language filters drop documents, near-dedup keeps one document of each group (five-word shingles,
 similarity 0.8), substring dedup removes repeated runs of 35 words, and packing places what is left in sequences of
 2048 ids. All stages but the last return the columns of documents. Models are fitted on the stage's own input.
+
+Edge cases, stage by stage: a null or empty text is scored like any other; it is not identified, so the language stage
+drops it. Rows without an id stay where their text does. Of rows that repeat, one of each group stays. Empty tables give
+empty tables. Without labels every score is 0.5, below the threshold, and without languages nothing is identified: either way
+no document is kept. Columns beside those of documents are kept up to the last stage.
 """
 
 from __future__ import annotations
