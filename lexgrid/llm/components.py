@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.runtime import materialise
+from lexgrid.runtime import discard, materialise
 
 
 def local_labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -42,6 +42,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = materialise(both.join(lowest, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        before, edges = edges, materialise(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(before, large)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -7,15 +7,16 @@ shingles make no lists unless they are nearly all a text has. The smallest k val
 estimate the similarity, and candidates near or above the threshold are confirmed on their full sets.
 
 Lists are not turned into all their pairs. First each list's most central member (fewest values of its own) meets all
-others. Components of the links found are formed. Only where members of one list are still in different components are
-they then compared with each other, on full sets, so no link between components is missed. Up to `k * threshold` shingles prefixes are
-exact; beyond, a pair just at the threshold shares too few retained values with a probability of 1.2e-6 at 0.8 and 2.4e-6
-at 0.85, and a pair with a centre is rejected by least_estimate with 1.4e-5 and 3.0e-5 (binomial, 64 values).
+others. Components of the links found are formed. Only where members of one list are still in different components do
+they then meet each other, in blocks: estimate first, exact check after, until their components are one. So no link
+between components is missed but by the estimate. Up to `k * threshold` shingles prefixes and estimates are exact;
+beyond, a pair just at the threshold shares too few retained values with a probability of 1.2e-6 at 0.8 and 2.4e-6
+at 0.85, and is rejected by least_estimate with 1.4e-5 and 3.0e-5 (binomial, 64 values).
 
 Edge cases: with fewer words than a shingle the whole sequence is the only one. A null or blank text has an empty
-set, links with nothing and is kept. Rows without an id link with nothing. Repeated rows are copies of each other; an
-id that repeats with different texts stands for all of them. Other columns are ignored by groups(), kept by
-keep_one().
+set, links with nothing and is kept. Rows without an id link with nothing and are kept. Repeated rows are copies of
+each other; rows with one id and different texts are documents of their own under one id. groups() ignores other columns,
+keep_one() keeps them. Of rows with the smallest id of a group keep_one() leaves one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.llm.components import components
-from lexgrid.llm.spans import mix
-from lexgrid.runtime import map_batches, map_rows, materialise
+from lexgrid.llm.spans import hash_of_text, mix
+from lexgrid.runtime import discard, map_batches, map_rows, materialise
 
 K = 64
 SHINGLE = 5
@@ -78,14 +80,14 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n (size of the set), set_key (a 128-bit hash of the set), sketch (the k smallest hashes)."""
+    """doc_id, text_hash, n (size of the set), set_key (a 128-bit hash of the set), sketch (the k smallest hashes)."""
 
     def run(rows):
-        for doc_id, text in rows:
+        for doc_id, text_hash, text in rows:
             found = shingles(text, scheme.shingle)
-            yield doc_id, len(found), xxhash.xxh3_128_hexdigest(found.tobytes()), found[: scheme.k].view(np.int64)
+            yield doc_id, text_hash, len(found), xxhash.xxh3_128_hexdigest(found.tobytes()), found[: scheme.k].view(np.int64)
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, set_key string, sketch array<long>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), hash_of_text().alias("text_hash"), "text"), run, "doc_id long, text_hash long, n long, set_key string, sketch array<long>")
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -95,23 +97,27 @@ def estimate(a: Column, b: Column, k: int) -> Column:
 
 
 def prefixes(classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """rep, own (values that no other class retains) and prefix (the rarest of the others that have to be met)."""
-    values = classes.select("rep", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").count().filter("count > 1")
-    met = values.join(often, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("met"))
+    """node, own (values that no other class retains) and prefix (the rarest of the others that have to be met)."""
+    values = classes.select("node", F.explode("sketch").alias("value"))
+    # written, so that the join with it stands alone and a frequent value is split
+    often = materialise(values.groupBy("value").count().filter("count > 1"), "often")
+    met = values.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("met"))
     held = F.least("n", F.lit(scheme.k))
     part, whole = scheme.threshold.numerator, scheme.threshold.denominator
     exact = F.ceil(F.col("n") * part / whole)
     full = F.greatest(F.lit(1), F.floor(held * scheme.fewest / scheme.k))
     needed = F.when(F.col("n") * whole <= scheme.k * part, exact).otherwise(full)
-    met = met.join(classes.select("rep", "n"), "rep")
+    met = met.join(classes.select("node", "n"), "node")
     length = F.size("met") - needed + 1
-    return met.filter(length > 0).select("rep", "n", (held - F.size("met")).alias("own"), F.slice(F.col("met.value"), F.lit(1), length.cast("int")).alias("prefix"))
+    found = met.filter(length > 0).select("node", "n", (held - F.size("met")).alias("own"), F.slice(F.col("met.value"), F.lit(1), length.cast("int")).alias("prefix"))
+    found = materialise(found, "prefixes")
+    discard(often)
+    return found
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, scheme: Scheme) -> DataFrame:
-    """rep and text of the classes in ids (column rep). A Bloom filter of bounded size keeps most other texts out of the shuffle."""
-    ids = materialise(ids.distinct().join(classes.select("rep", "set_key"), "rep"), "wanted")
+def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """node and text of the classes in nodes. A Bloom filter of bounded size keeps most other texts out of the shuffle."""
+    ids = materialise(nodes.distinct().join(classes.select("node", "rep", "set_key"), "node"), "wanted")
     bits = 64 * max(1, min(MOST_BITS, 10 * ids.count()) // 64)
     places = [F.pmod(F.xxhash64(F.lit(i), F.col("rep")), F.lit(bits)) for i in range(4)]
     found = ids.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
@@ -127,14 +133,14 @@ def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, scheme: Scheme
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), b.column(1)], ["rep", "set_key", "text"])
 
     likely = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").select("rep", "text", *(p.alias(f"p{i}") for i, p in enumerate(places)))
-    texts = map_batches(likely, sift, "rep long, set_key string, text string").join(ids, ["rep", "set_key"]).dropDuplicates(["rep"]).select("rep", "text")
+    texts = map_batches(likely, sift, "rep long, set_key string, text string").join(ids, ["rep", "set_key"]).dropDuplicates(["node"]).select("node", "text")
     return materialise(texts, "texts")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b of representatives) whose full sets are similar enough."""
+    """Pairs (a, b of nodes) whose full sets are similar enough."""
     part, whole = scheme.threshold.numerator, scheme.threshold.denominator
-    both = pairs.join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
+    both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
 
     def check(rows):
         known, mine = None, None
@@ -149,24 +155,49 @@ def confirmed(texts: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
     return map_rows(both.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
 
-def crossing(members: list[tuple], scheme: Scheme) -> list[tuple[int, int]]:
-    """Links between members (rep, component, side, text) of different components and, if both sides occur, of different sides.
+def similar(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """estimate() of two sorted sketches."""
+    union = np.union1d(a, b)[:k]
+    return len(np.intersect1d(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True)) / len(union)
 
-    Only members outside the largest component ask; one pass over the others' shingles gives all overlaps of an asker.
-    Components that get a link become one, so each needs no second."""
+
+@dataclass
+class Member:
+    node: int
+    component: int
+    side: int
+    n: int
+    sketch: np.ndarray
+    text: str
+
+    @cached_property
+    def shingles(self) -> dict[int, np.ndarray]:
+        return {}
+
+    def of(self, shingle: int) -> np.ndarray:
+        if shingle not in self.shingles:
+            self.shingles[shingle] = shingles(self.text, shingle)
+        return self.shingles[shingle]
+
+
+def crossing(members: list[Member], scheme: Scheme) -> list[tuple[int, int]]:
+    """Links between members of different components and, if both sides occur, of different sides.
+
+    Only members outside the largest component ask. Sketches first say who may be similar; full sets decide. Components
+    that get a link become one, so each needs no second."""
     part, whole = scheme.threshold.numerator, scheme.threshold.denominator
-    names, label = np.unique([m[1] for m in members], return_inverse=True)
+    names, label = np.unique([m.component for m in members], return_inverse=True)
     if len(names) < 2:
         return []
-    sets = [shingles(m[3], scheme.shingle) for m in members]
-    sizes = np.array([len(x) for x in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    sides = np.array([m[2] for m in members])
+    sizes = np.array([m.n for m in members])
+    held = np.array([len(m.sketch) for m in members])
+    _, flat = np.unique(np.concatenate([m.sketch for m in members]), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(held)])
+    sides = np.array([m.side for m in members])
     two = sides.min() != sides.max()
     mark, out = np.zeros(flat.max() + 1, bool), []
     for q in np.flatnonzero(label != np.bincount(label).argmax()):
-        others = label != label[q]
+        others = (label != label[q]) & (np.minimum(sizes, sizes[q]) * whole >= np.maximum(sizes, sizes[q]) * part)
         if two:
             others &= sides != sides[q]
         if not others.any():
@@ -175,77 +206,105 @@ def crossing(members: list[tuple], scheme: Scheme) -> list[tuple[int, int]]:
         mark[mine] = True
         shared = np.add.reduceat(mark[flat].astype(np.int64), begin[:-1])
         mark[mine] = False
-        for x in np.flatnonzero(others & (whole * shared >= part * (sizes + sizes[q] - shared))):
-            if label[x] != label[q]:
-                out.append((members[q][0], members[x][0]))
-                label[label == label[x]] = label[q]
+        # the values that both hold are at least those that the estimate counts; the smallest union has as many as the longer sketch
+        others &= shared >= scheme.least_estimate * np.maximum(held, held[q])
+        for x in np.flatnonzero(others):
+            if label[x] != label[q] and similar(members[q].sketch, members[x].sketch, scheme.k) >= scheme.least_estimate:
+                both = len(np.intersect1d(members[q].of(scheme.shingle), members[x].of(scheme.shingle), assume_unique=True))
+                if whole * both >= part * (sizes[x] + sizes[q] - both):
+                    out.append((members[q].node, members[x].node))
+                    label[label == label[x]] = label[q]
     return out
 
 
 def links(docs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """a, b: links between classes that are enough to form all components."""
+    """a, b: links between classes (nodes) that are enough to form all components."""
     part, whole = scheme.threshold.numerator, scheme.threshold.denominator
-    found = materialise(prefixes(classes, scheme), "prefixes")
-    lists = found.select("rep", "own", F.explode("prefix").alias("value"))
-    centre = lists.groupBy("value").agg(F.min(F.struct("own", "rep")).alias("centre"), F.count("*").alias("members")).filter("members > 1").select("value", F.col("centre.rep").alias("centre"), "members")
-    meets = materialise(lists.join(centre, "value").filter("rep <> centre").select("centre", "rep", "value", "members"), "meets")
-    stars = meets.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    sketch_of = classes.select("rep", "n", "sketch")
-    stars = stars.join(sketch_of.withColumnsRenamed({"rep": "b", "n": "n_b", "sketch": "sketch_b"}), "b").join(sketch_of.withColumnsRenamed({"rep": "a", "n": "n_a", "sketch": "sketch_a"}), "a")
+    found = prefixes(classes, scheme)
+    lists = found.select("node", "own", F.explode("prefix").alias("value"))
+    centre = lists.groupBy("value").agg(F.min(F.struct("own", "node")).alias("centre"), F.count("*").alias("members")).filter("members > 1").select("value", F.col("centre.node").alias("centre"), "members")
+    centre = materialise(centre, "centres")
+    meets = materialise(lists.join(centre, "value").filter("node <> centre").select("centre", "node", "value", "members"), "meets")
+    stars = meets.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    sketch_of = classes.select("node", "n", "sketch")
+    stars = stars.join(sketch_of.withColumnsRenamed({"node": "b", "n": "n_b", "sketch": "sketch_b"}), "b").join(sketch_of.withColumnsRenamed({"node": "a", "n": "n_a", "sketch": "sketch_a"}), "a")
     sizes = F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part
     likely = materialise(stars.filter(sizes & (estimate(F.col("sketch_a"), F.col("sketch_b"), scheme.k) >= scheme.least_estimate)).select("a", "b"), "likely")
-    texts = texts_of(docs, classes, likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))), scheme)
+    texts = texts_of(docs, classes, likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))), scheme)
     first = materialise(confirmed(texts, likely, scheme), "first-links")
+    discard(found, centre, likely, texts)
     # members of one list, beside its centre, that are still apart; lists with one centre are looked at together
-    placed = meets.filter("members > 2").join(components(first, "a", "b").withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = meets.filter("members > 2").join(components(first, "a", "b").withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialise(placed, "placed")
     apart = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
-    bundles = materialise(placed.join(apart, "value", "left_semi").select("centre", "rep", "component").distinct(), "bundles")
+    # both written, so that a list with very many members is split in the join and merged before the next shuffle
+    apart = materialise(apart, "apart")
+    again = materialise(placed.join(apart, "value", "left_semi").select("centre", "node", "component"), "again")
+    bundles = materialise(again.distinct(), "bundles")
+    discard(meets, placed, apart, again)
     if bundles.isEmpty():
         return first
     return first.unionByName(materialise(_between(docs, classes, bundles, scheme), "second-links"))
 
 
 def _between(docs: DataFrame, classes: DataFrame, bundles: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links within bundles (centre, rep, component). A large bundle is dealt over blocks, and each pair of blocks is a task of bounded size."""
-    texts = texts_of(docs, classes, bundles.select("rep"), scheme)
+    """Links within bundles (centre, node, component). A large bundle is dealt over blocks, and each pair of blocks is a task of bounded size."""
+    texts = texts_of(docs, classes, bundles.select("node"), scheme)
     counts = bundles.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine")
-    dealt = bundles.join(counts, "centre").select("centre", "rep", "component", mine, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = dealt.join(texts, "rep").select("centre", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "rep", "component", "mine", "text")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")
+    dealt = bundles.join(counts, "centre").select("centre", "node", "component", mine, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    known = texts.join(classes.select("node", "n", "sketch"), "node")
+    tiles = dealt.join(known, "node").select("centre", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "component", "mine", "n", "sketch", "text")
 
     def settle(rows):
         key, group = None, []
-        for *at, rep, component, side, text in rows:
+        for *at, node, component, side, n, sketch, text in rows:
             if at != key:
                 yield from crossing(group, scheme)
                 key, group = at, []
-            group.append((rep, component, side, text))
+            group.append(Member(node, component, side, n, np.array(sketch, np.int64).view(np.uint64), text))
         yield from crossing(group, scheme)
 
     keys = ["centre", "low", "high"]
     return map_rows(tiles.repartition(*keys).sortWithinPartitions(*keys), settle, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, for every row."""
-    scheme = Scheme(shingle, threshold, k)
+def placed_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """doc_id, text_hash, n, group (null without words or id) and component_id (smallest doc_id of the group) for every row."""
     made = materialise(sketches(docs, scheme), "sketches")
     full = made.filter("n > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")), "classes")
-    # one id may stand for several classes, by rows that repeat it
-    found = links(docs, classes.dropDuplicates(["rep"]), scheme)
-    placed = components(found, "a", "b").withColumnRenamed("id", "rep")
-    known = classes.select("set_key", "rep").join(placed, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = made.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"))
+    # ids may repeat with different texts, so classes get numbers of their own; they are settled by being written
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = links(docs, classes, scheme)
+    placed = materialise(components(found, "a", "b").withColumnRenamed("id", "node").join(classes.select("node", "set_key", "rep"), "node"), "placed")
+    lowest = materialise(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
+    linked = placed.join(lowest, "component").select("set_key", F.col("component").alias("group"), "component_id")
+    known = classes.select("set_key", "rep", "node").join(linked, "set_key", "left").select("set_key", F.coalesce("group", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    rows = made.select("doc_id", "text_hash", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
+    return rows.select("doc_id", "text_hash", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, for every row."""
+    out = placed_rows(docs, Scheme(shingle, threshold, k))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, k: int = K) -> DataFrame:
     """The rows of docs, with their columns, less all but one of each group."""
-    gone = groups(docs, shingle, threshold, k).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
-    gone = materialise(gone.filter("doc_id is not null and (not kept or rows > 1)"), "gone")
-    if not gone.filter("kept").isEmpty():
-        docs = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return docs.join(gone.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = materialise(placed_rows(docs, Scheme(shingle, threshold, k)).filter("group is not null").select("doc_id", "text_hash", "group"), "rows")
+    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    shared = materialise(rows.join(materialise(first, "first"), "group").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays")), "shared")
+    gone = shared.filter("not stays").distinct()
+    twice = materialise(shared.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1"), "twice")
+    columns, key = docs.columns, [F.col("doc_id").cast("long").alias("_id"), hash_of_text().alias("_hash")]
+    keyed = docs.select("*", *key)
+
+    def among(other: DataFrame, how: str, frame: DataFrame) -> DataFrame:
+        return frame.join(other.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), ["_id", "_hash"], how)
+
+    kept = among(gone, "left_anti", keyed)
+    if not twice.isEmpty():
+        kept = among(twice, "left_anti", kept).unionByName(among(twice, "left_semi", kept).dropDuplicates(["_id", "_hash", "text"]))
+    return kept.select(*columns)
