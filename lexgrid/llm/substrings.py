@@ -1,7 +1,8 @@
 """Substring dedup by seed and extend: removes every word covered by a run of 35 words that also starts anywhere else.
 
 Documents meet at winnowed anchors of a few words (see spans). From an anchor that they share, texts are extended to
-both sides as far as the words agree; matches of at least the length are kept.
+both sides as far as the words agree; matches of at least the length are kept. Texts that agree as far as the windows
+around an anchor go are merged before, by a hash of 128 bits. Anchors that too many texts share are made longer.
 
 Edge cases: words are runs of characters other than blanks and the controls 9 to 13, unchanged. A null text has no
 words. Texts with fewer words lose nothing. Matches never cross documents. Repeated rows are copies of each other and
@@ -84,4 +85,4 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_g
                     row[columns.index("n_chars")] = len(row[at])
             yield tuple(row)
 
-    return map_rows(repeats(docs, length, gram, most_group), run, docs._jdf.schema().toDDL())
+    return map_rows(repeats(docs, length, gram, most_group), run, docs.schema)

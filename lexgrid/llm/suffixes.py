@@ -1,8 +1,10 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that also starts anywhere else.
 
-The suffixes that are sorted are those that begin at a shared anchor (see spans). Deep-shallow sorting: multikey
-quicksort to a shallow depth; what still agrees there goes into a blind trie, which compares whole suffixes only where
-an insertion needs it. Common beginnings of neighbours, and the bytes before the anchor, give the maximal matches.
+The suffixes that are sorted are those that begin at a shared anchor (see spans), each content once: suffixes that are
+equal as far as their windows go are merged before, by a hash of 128 bits, and repeat as a whole. Deep-shallow sorting:
+multikey quicksort to a shallow depth; what still agrees there goes into a blind trie, which compares whole suffixes only
+where an insertion needs it. Common beginnings of neighbours, and the bytes before the anchor, give the maximal matches.
+Anchors with too many suffixes for one task are made longer until they are not.
 
 Edge cases: a null text counts as empty. Texts shorter than the length lose nothing. Matches never cross documents.
 Repeated rows are copies of each other and lose what they share, like any other. Bytes left over may not be valid

@@ -63,6 +63,51 @@ def test_substrings_equal_brute_force(spark, most):
     assert sorted(got, key=str) == sorted([(d, n, k, b" ".join(x).decode()) for d, n, k, x in repeats(docs, substrings.words, 5)], key=str)
 
 
+@pytest.mark.parametrize("most", [spans.MOST_GROUP, 3])
+def test_hot_anchors_equal_brute_force(spark, most):
+    """One line in every text, in contexts of which some agree to one side, and one word pair many times in some."""
+    rng = random.Random(11)
+    line = "this line stands in all of them"
+    left, right = ([" ".join(rng.choice("pqrs") * rng.randint(1, 2) for _ in range(9)) for _ in range(4)] for _ in range(2))
+    docs = [(i, " ".join([rng.choice(left)[rng.randint(0, 8) :], line, rng.choice(right)[: rng.randint(1, 12)]])) for i in range(90)]
+    docs += [(100 + i, "of the " * rng.randint(3, 30) + rng.choice(right)) for i in range(12)] + [(7, docs[7][1]), (None, docs[8][1]), (8, None)]
+    by = lambda rows: sorted(rows, key=str)
+    got = [(r["doc_id"], r["n_bytes"], sum(x["end"] - x["begin"] for x in r["removed"]), bytes(r["kept"])) for r in suffixes.dedup(frame(spark, docs), 24, 5, most).collect()]
+    assert by(got) == by([(d, n, k, bytes(x)) for d, n, k, x in repeats(docs, lambda t: (t or "").encode(), 24)])
+    got = [(r["doc_id"], r["n_words"], sum(x["end"] - x["begin"] for x in r["removed"]), r["kept"]) for r in substrings.dedup(frame(spark, docs), 6, 2, most).collect()]
+    assert by(got) == by([(d, n, k, b" ".join(x).decode()) for d, n, k, x in repeats(docs, substrings.words, 6)])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 2, 5]))
+def test_longer_anchors_keep_every_window(seed, width):
+    """Each window of a run is in one run of a longer anchor, and equal windows get the same one."""
+    rng = random.Random(seed)
+    text = "".join(rng.choice("ab") for _ in range(120))
+    scheme = suffixes.scheme(20, 4)
+    units, known, seen = scheme.units(text), {}, []
+    for part in spans.runs(units, scheme):
+        for k in range(len(part)):
+            run = {"first": int(part.first[k]), "last": int(part.last[k]), "place": int(part.place[k]), "needs": True}
+            for r in spans.longer(units, [run], width, scheme):
+                for a, f, l, p in zip(r.anchor.tolist(), r.first.tolist(), r.last.tolist(), r.place.tolist(), strict=True):
+                    for w in range(f, l + 1):
+                        seen.append(w)
+                        assert run["first"] + run["place"] == f + p
+                        assert known.setdefault(text[w : w + 20], (a, p - (w - f))) == (a, p - (w - f))
+    assert sorted(seen) == list(range(101))
+
+
+def test_runs_of_one_document_are_one_row():
+    import numpy as np
+
+    units = lambda n: np.array(n, np.uint64)
+    found = spans.Runs(units([5, 5, 5, 9, 5]), units([1, 1, 1, 1, 1]), units([2, 2, 2, 2, 2]), np.array([0, 10, 40, 60, 3]), np.array([4, 14, 44, 64, 7]), np.zeros(5, np.int64), np.ones(5, bool))
+    rows, times, doc, ranges = spans.collapsed(np.array([0, 0, 0, 0, 1]), found, 10)
+    assert sorted(zip(rows.tolist(), times.tolist(), strict=True)) == [(0, 3), (3, 1), (4, 1)]
+    assert doc.tolist() == [0, 0] and ranges.tolist() == [[0, 24], [40, 54]]
+
+
 def test_drop_repeats_keeps_columns(spark):
     text = "one two three four five six seven"
     docs = frame(spark, [(1, text + " tail"), (2, "head  " + text), (3, "quite\tother words  here"), (4, None)])
@@ -85,7 +130,7 @@ def test_long_texts_are_hashed_in_segments(monkeypatch):
     monkeypatch.setattr(spans, "SEGMENT", 50)
     scheme = suffixes.scheme(20, 6)
     units = scheme.units("".join(random.Random(1).choice("ab") for _ in range(300)))
-    covered = [s for _, _, first, last, _ in spans.runs(units, scheme) for a, b in zip(first, last, strict=True) for s in range(a, b + 1)]
+    covered = [s for r in spans.runs(units, scheme) for a, b in zip(r.first, r.last, strict=True) for s in range(a, b + 1)]
     assert sorted(covered) == list(range(300 - 19))
     assert np.array_equal(spans.window_minima(np.array([5, 3, 4, 1, 2], np.uint64), 3), [3, 1, 1])
 
@@ -136,6 +181,42 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_groups(docs, 3, 85, 100)
 
 
+def test_one_id_with_several_texts(spark):
+    """(1, A), (1, B), (2, near A), (3, near B): both texts of 1 take part, and no text is lost."""
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, "w " + a), (5, b)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.groups(frame(spark, rows), 3, Fraction(85, 100)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_one(frame(spark, rows)).collect()) == sorted([(1, a), (1, b)])
+    near = [(1, a), (1, a + " tail"), (1, a), (7, "all alone with words of its own"), (7, "and other words under the same id"), (7, "all alone with words of its own")]
+    out = [(r["doc_id"], r["text"]) for r in minhash.keep_one(frame(spark, near)).collect()]
+    assert sorted(i for i, _ in out) == [1, 7, 7] and len(set(out)) == 3
+
+
+def test_long_texts_are_near_copies(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    other = list(long)
+    for i in range(0, 60_000, 40):
+        other[i] = "changed"
+    rows = [(5, " ".join(long)), (2, " ".join(other)), (3, " ".join(reversed(long)))]
+    assert {r["doc_id"]: r["component_id"] for r in minhash.groups(frame(spark, rows), 3, Fraction(85, 100)).collect()} == {5: 2, 2: 2, 3: 3}
+
+
+def test_members_of_a_list_are_compared_by_estimate_then_in_full():
+    import numpy as np
+
+    rng, scheme = random.Random(9), minhash.Scheme(3, Fraction(85, 100))
+    texts = []
+    for _ in range(6):
+        base = [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([8, 60, 400]))]
+        texts += [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(rng.sample(base, len(base)))]
+    sets = [minhash.shingles(t, 3) for t in texts]
+    members = [minhash.Member(i, i, i % 2, len(s), s[:64], t) for i, (s, t) in enumerate(zip(sets, texts, strict=True))]
+    near = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a % 2 != b % 2 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert {tuple(sorted(p)) for p in minhash.crossing(members, scheme)} == near and near
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = frame(spark, [(4, text), (2, text), (9, text + " tail"), (5, "alone in the world today"), (5, "alone in the world today"), (7, None), (None, text)])
