@@ -281,6 +281,8 @@ def placed_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     lowest = materialise(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
     linked = placed.join(lowest, "component").select("set_key", F.col("component").alias("group"), "component_id")
     known = classes.select("set_key", "rep", "node").join(linked, "set_key", "left").select("set_key", F.coalesce("group", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    # written, so that the join stands alone and a set with very many copies is split
+    known = materialise(known, "known")
     rows = made.select("doc_id", "text_hash", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
     return rows.select("doc_id", "text_hash", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
