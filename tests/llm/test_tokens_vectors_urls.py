@@ -179,6 +179,35 @@ def test_reading_stops_at_the_bound():
     assert flat.scored > 900
 
 
+@pytest.mark.parametrize("scales", [[1] * 16, [4000, 800] + [3] * 14])
+def test_a_list_is_read_once_for_many_queries(scales):
+    """Entries read do not grow with the queries of a batch; each query finds what it finds alone, and stops at its own bound."""
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(2000, 16)) * np.array(scales) * 4).astype(np.int64)
+    x[5], x[1500:1520] = 0, x[:20]
+    ids, at = np.arange(2000) * 3, np.arange(0, 2000, 5)
+    q, query_ids = x[at].copy(), np.where(at % 2, ids[at], -1)
+    q[7] *= 2**52
+    want = []
+    for i, v in zip(query_ids.tolist(), q.astype(object), strict=True):
+        sums = [min(max(s, -(2**63)), 2**63 - 1) for s in x.astype(object) @ v]
+        want.append(sorted((-s, j) for s, j in zip(sums, ids.tolist(), strict=True) if j != i)[:5])
+    lists = topk.Lists(ids, x)
+    for floors in (np.full(len(at), topk.LOWEST), np.array([-w[2][0] for w in want])):
+        rows, found, scores = lists.tops(query_ids, q, 5, floors)
+        for r, (w, floor) in enumerate(zip(want, floors.tolist(), strict=True)):
+            got = list(zip((-scores[rows == r]).tolist(), found[rows == r].tolist(), strict=True))
+            assert [g for g in got if -g[0] >= floor] == [g for g in w if -g[0] >= floor]
+    # two calls, each with one batch of doubles and one of the query beyond them, at either end of each list
+    assert lists.read <= 2 * 2 * 2 * x.size
+    assert lists.scored < 2 * len(at) * len(x) * (1 if scales[0] == 1 else 0.5) + 1
+    # one by one the queries read more, though half as often
+    alone = topk.Lists(ids, x)
+    for i, v in zip(query_ids, q, strict=True):
+        alone.top(i, v, 5)
+    assert lists.read < alone.read / 2
+
+
 def test_search_ignores_clashing_columns(spark):
     rows = [(i, [float(i % 5), 1.0], i, "x", "y", 3) for i in range(12)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int, block string, asks string, floor int")
